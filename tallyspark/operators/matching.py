@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import plain_decimal
+from tallyspark.operators.sequence import with_sequence
 from tallyspark.session import cut_lineage
 
 # Score scale and parameter limits.
@@ -202,18 +203,46 @@ def score_pairs(pairs: DataFrame, balance: int = DEFAULT_BALANCE, max_days: int
 def explode_grid(pairs: DataFrame, grid: Sequence[GridPoint]) -> DataFrame:
     """One row per (pair, grid point admitting it) with the point's score.
 
-    The grid is a short driver-side parameter list turned into a literal
-    array, so this is a narrow explode, not a join.
+    The grid is a short driver-side parameter list held in literal arrays, so
+    this is a narrow, codegen-friendly explode, not a join.  Points are sorted
+    by ``max_days``: the points admitting a pair's day gap are a suffix of
+    that order, so only those are emitted; their parameters are looked up
+    by position with ``element_at``.
     """
-    opts = []
-    absd = F.abs(F.col("day_diff"))
-    for g in grid:
-        d = Decimal(g.max_amount) / Decimal(MAX_AMOUNT_DIFF)
-        ok = (absd <= g.max_days) & (F.abs(F.col("amount_diff")) <= F.lit(d) * F.abs(F.col("r_amount")))
-        opts.append(F.when(ok, F.struct(F.lit(g.grid_id).alias("grid_id"),
-                                        score_expr(g.balance, g.max_days).alias("score"))))
-    x = pairs.withColumn("_g", F.explode(F.filter(F.array(*opts), lambda v: v.isNotNull())))
-    x = x.select("*", F.col("_g.grid_id").alias("grid_id"), F.col("_g.score").alias("score")).drop("_g")
+    pts = sorted(grid, key=lambda p: (p.max_days, p.grid_id))
+    n_max = pts[-1].max_days
+    # start[k] = number of points whose day tolerance is below k.
+    start = [sum(1 for p in pts if p.max_days < k) for k in range(n_max + 1)]
+
+    def arr(values, typ):
+        return F.array(*[F.lit(v).cast(typ) for v in values])
+
+    x = pairs.withColumn("_absd", F.abs(F.col("day_diff")).cast("int"))
+    amounts = sorted({p.max_amount for p in pts})
+    for a in amounts:
+        d = Decimal(a) / Decimal(MAX_AMOUNT_DIFF)
+        x = x.withColumn(f"_adm{a}", F.abs(F.col("amount_diff")) <= F.lit(d) * F.abs(F.col("r_amount")))
+    ra, ta = F.abs(F.col("r_amount")), F.abs(F.col("t_amount"))
+    big = F.greatest(ra, ta)
+    x = x.withColumn("_rel", F.when(big == 0, F.lit(0.0)).otherwise(
+        F.abs(F.col("amount_diff")).cast("double") / big.cast("double")))
+    first = F.element_at(arr(start, "int"), F.col("_absd") + 1)
+    x = x.withColumn("_pos", F.explode(F.sequence(first, F.lit(len(pts) - 1))))
+
+    def at(values, typ):
+        return F.element_at(arr(values, typ), F.col("_pos") + 1)
+
+    b = at([p.balance / MAX_BALANCE for p in pts], "double")
+    nb = at([1.0 - p.balance / MAX_BALANCE for p in pts], "double")
+    n1 = at([float(p.max_days + 1) for p in pts], "double")
+    s = b * (F.lit(1.0) - F.col("_rel")) + nb * (F.lit(1.0) - F.col("_absd").cast("double") / n1)
+    score = F.floor(F.round(F.lit(float(MAX_MATCH_SCORE)) * s, 6)).cast("int")
+    amount_of = at([p.max_amount for p in pts], "int")
+    adm = F.lit(False)
+    for a in amounts:
+        adm = F.when(amount_of == a, F.col(f"_adm{a}")).otherwise(adm)
+    x = x.filter(adm).select(*pairs.columns, at([p.grid_id for p in pts], "int").alias("grid_id"),
+                             score.alias("score"))
     return x.filter(F.col("score") > 0)
 
 
@@ -221,29 +250,31 @@ def explode_grid(pairs: DataFrame, grid: Sequence[GridPoint]) -> DataFrame:
 # Best candidate, mutual best, one-to-one
 # ---------------------------------------------------------------------------
 
-def _rank_struct(other_seq: str, other_key: str) -> Column:
+GAP_TYPE = "decimal(18,4)"
+
+
+def _with_gaps(pairs: DataFrame) -> DataFrame:
+    """Sort keys of the pair order as compact columns (long-backed decimal)."""
+    return (pairs.withColumn("_ad", F.abs(F.col("day_diff")).cast("int"))
+                 .withColumn("_aa", F.abs(F.col("amount_diff")).cast(GAP_TYPE)))
+
+
+def _rank_struct(other_seq: str, other_key: str, carry: Sequence[str] = ()) -> Column:
     """Larger is better: score, then smaller day gap, smaller amount gap,
     then earlier partner."""
-    return F.struct(F.col("score"), (-F.abs(F.col("day_diff"))).alias("ad"),
-                    (-F.abs(F.col("amount_diff"))).alias("aa"),
-                    (-F.col(other_seq)).alias("os"), F.col(other_key).alias("k"))
+    return F.struct(F.col("score"), (-F.col("_ad")).alias("ad"), (-F.col("_aa")).alias("aa"),
+                    (-F.col(other_seq)).alias("os"), F.col(other_key).alias("k"),
+                    *[F.col(c) for c in carry])
 
 
 def best_candidate(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Best scored pair per record (partial aggregation, no window sort)."""
     g = list(group)
-    best = pairs.groupBy(*g, "rid").agg(F.max(_rank_struct("t_seq", "tid")).alias("_b"))
+    best = _with_gaps(pairs).groupBy(*g, "rid").agg(F.max(_rank_struct("t_seq", "tid")).alias("_b"))
     return best.select(*g, "rid", F.col("_b.k").alias("tid"))
 
 
-def mutual_best(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Pairs that are the best for their record and for their transaction."""
-    g = list(group)
-    by_r = pairs.groupBy(*g, "rid").agg(F.max(_rank_struct("t_seq", "tid")).alias("_b")).select(
-        *g, "rid", F.col("_b.k").alias("tid"))
-    by_t = pairs.groupBy(*g, "tid").agg(F.max(_rank_struct("r_seq", "rid")).alias("_b")).select(
-        *g, "tid", F.col("_b.k").alias("rid"))
-    return by_r.join(by_t, g + ["rid", "tid"], "inner")
+_CARRY = ("amount_diff", "day_diff")
 
 
 @dataclasses.dataclass
@@ -252,25 +283,51 @@ class Assignment:
     rounds: int
 
 
+PAIR_ORDER = ("score", "_ad", "_aa", "r_seq", "t_seq")
+
+
+def rank_pairs(pairs: DataFrame) -> DataFrame:
+    """Add ``prio``: a unique long following the strict pair order (best
+    first).  One distributed range-partitioned sort; afterwards every "best
+    per record / per transaction" is a hash ``min(prio)``."""
+    x = _with_gaps(pairs)
+    order = [F.col("score").desc(), F.col("_ad").asc(), F.col("_aa").asc(),
+             F.col("r_seq").asc(), F.col("t_seq").asc()]
+    return with_sequence(x, order, name="prio")
+
+
+def _round(remaining: DataFrame, g: list[str]) -> DataFrame:
+    by_r = remaining.groupBy(*g, "rid").agg(F.min("prio").alias("prio"))
+    by_t = remaining.groupBy(*g, "tid").agg(F.min("prio").alias("prio"))
+    return by_r.join(by_t, g + ["prio"], "inner").select(*g, "rid", "tid", "prio")
+
+
+def mutual_best(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Pairs that are the best for their record and for their transaction."""
+    g = list(group)
+    return _round(rank_pairs(pairs).select(*g, "rid", "tid", "prio"), g).select(*g, "rid", "tid")
+
+
 def assign_one_to_one(pairs: DataFrame, group: Sequence[str] = (),
                       max_rounds: int = 10_000) -> Assignment:
     """Greedy one-to-one matching (per ``group``) by the strict pair order.
 
     Rounds of mutual-best pairs equal the global greedy matching; every round
-    takes at least the best remaining pair, so the loop ends.  Each round is
-    checkpointed (reliable) so lineage stays short and lost executors only
-    recompute one round.
+    takes at least the best remaining pair, so the loop ends.  A round only
+    moves ``(group, rid, tid, prio)``; the remaining pairs are checkpointed
+    (reliable) every round so lineage stays short and a lost executor only
+    recomputes one round.
     """
+    from pyspark import StorageLevel
     g = list(group)
-    cols = g + ["rid", "tid", "score", "amount_diff", "day_diff", "r_seq", "t_seq"]
-    remaining = cut_lineage(pairs.select(*cols))
+    ranked = cut_lineage(rank_pairs(pairs).select(*g, "rid", "tid", "prio", "score", *_CARRY))
+    remaining = ranked.select(*g, "rid", "tid", "prio")
     taken: list[DataFrame] = []
     rounds = 0
     while True:
         if rounds >= max_rounds:
             raise RuntimeError(f"one-to-one matching did not finish in {max_rounds} rounds")
-        m = mutual_best(remaining, g)
-        m = cut_lineage(remaining.join(m, g + ["rid", "tid"], "left_semi"))
+        m = _round(remaining, g).persist(StorageLevel.MEMORY_AND_DISK)
         rounds += 1
         if m.isEmpty():
             break
@@ -280,12 +337,13 @@ def assign_one_to_one(pairs: DataFrame, group: Sequence[str] = (),
         remaining = cut_lineage(remaining)
         if remaining.isEmpty():
             break
-    if taken:
-        out = taken[0]
-        for m in taken[1:]:
-            out = out.unionByName(m)
-    else:
-        out = remaining.limit(0)
+    out_cols = g + ["rid", "tid", "score"] + list(_CARRY)
+    if not taken:
+        return Assignment(ranked.select(*out_cols).limit(0), rounds)
+    chosen = taken[0].select("prio")
+    for m in taken[1:]:
+        chosen = chosen.unionByName(m.select("prio"))
+    out = ranked.join(chosen, "prio", "left_semi").select(*out_cols)
     return Assignment(out, rounds)
 
 

@@ -17,7 +17,7 @@ from tallyspark.functions.scalars import format_date
 from tallyspark.operators.sequence import with_sequence
 from tallyspark.schema import AMOUNT_TYPE
 
-CENT = F.lit(Decimal("0.01"))
+CENT_VALUE = Decimal("0.01")
 
 # Fixed values of the wallet export: the Type and Name of a redemption row.
 REDEMPTION_TYPE = "General Incentive/Certificate Redemption"
@@ -78,7 +78,7 @@ def txns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(
         F.col("rid").alias("tid"),
         F.date_add("date", (F.col("rid") % 4).cast("int")).alias("date"),
-        F.round(F.col("amount") * (F.lit(100) - k) * CENT, 2).cast("decimal(18,2)").alias("amount"),
+        F.round(F.col("amount") * (F.lit(100) - k) * F.lit(CENT_VALUE), 2).cast("decimal(18,2)").alias("amount"),
         F.col("currency"),
         F.col("_seq"),
     )
@@ -117,7 +117,7 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = (F.col("order_id") % 4).cast("int")
     per_order = grouped.select(
         F.date_add("date", (F.col("order_id") % 3).cast("int")).alias("transaction_date"),
-        F.round(F.col("total") * (F.lit(100) - k) * CENT, 2).cast(AMOUNT_TYPE).alias("amount"),
+        F.round(F.col("total") * (F.lit(100) - k) * F.lit(CENT_VALUE), 2).cast(AMOUNT_TYPE).alias("amount"),
         F.col("_seq"))
     per_item = it.filter(F.col("order_id") % 2 == 1).select(
         F.col("date").alias("transaction_date"), F.col("amount").cast(AMOUNT_TYPE).alias("amount"),
@@ -175,7 +175,7 @@ def bank_wallet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         td.alias("transaction_date"), td.alias("posting_date"),
         F.concat(F.lit("WALLET *"), F.col("event_id").cast("string")).alias("description"),
-        F.round(F.col("value").cast("decimal(18,2)") * (F.lit(100) + k) * CENT, 2)
+        F.round(F.col("value").cast("decimal(18,2)") * (F.lit(100) + k) * F.lit(CENT_VALUE), 2)
          .cast(AMOUNT_TYPE).alias("amount"),
         F.lit(None).cast("string").alias("category"),
         F.lit("USD").alias("currency"),
