@@ -26,15 +26,18 @@ def with_sequence(df: DataFrame, order: Sequence[str | Column], name: str = "_se
     """Unique, order-preserving ``long`` per row (not dense).
 
     A range-partitioned sort spreads the work; the id of a row is its sorted
-    partition index in the high bits and its position in the low bits.
+    partition index in the high bits and its position in the low bits.  Ids
+    depend on how the sorted data is split, so the result is materialised
+    (reliable checkpoint): every later use of the frame sees the same ids.
     """
+    from tallyspark.session import cut_lineage
     order_cols = _cols(order)
     if partitions:
         ranged = df.repartitionByRange(partitions, *order_cols)
     else:
         ranged = df.repartitionByRange(*order_cols)
-    return ranged.sortWithinPartitions(*order_cols).withColumn(
-        name, F.monotonically_increasing_id())
+    return cut_lineage(ranged.sortWithinPartitions(*order_cols).withColumn(
+        name, F.monotonically_increasing_id()))
 
 
 def default_block(seq_col: str = "_seq", bits: int = 20) -> Column:
@@ -83,3 +86,31 @@ def prev_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str],
         x = x.withColumn(prefix + v, F.when(F.col("_first_in_blk"), F.col("_carry")[v])
                          .otherwise(F.col(prefix + v)))
     return x.drop("_blk", "_first_in_blk", "_carry")
+
+
+def prefix_sum_min(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str,
+                   block: Column, total: str = "_psum", min_before: str = "_pmin") -> DataFrame:
+    """Running sum of ``value`` (inclusive) and the minimum of the running sum
+    over the strictly earlier rows, floored at 0 (the empty prefix).
+
+    Two levels like ``rank_in_group``: exact windows inside blocks, and a
+    per-block carry (sum and minimum) from a summary with one row per block.
+    """
+    b = "_blk"
+    x = df.withColumn(b, block)
+    keys = list(group) + [b]
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_ls", F.sum(value).over(upto))
+    x = x.withColumn("_lmin", F.min("_ls").over(before))
+    summ = x.groupBy(*keys).agg(F.sum(value).alias("_bt"), F.min("_ls").alias("_bmin"))
+    prev_blocks = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.withColumn("_c", F.coalesce(F.sum("_bt").over(prev_blocks), F.lit(0)))
+    summ = summ.withColumn("_x", F.col("_c") + F.col("_bmin"))
+    summ = summ.withColumn("_m", F.min("_x").over(prev_blocks)).select(*keys, "_c", "_m")
+    x = x.join(summ, keys, "inner")
+    x = x.withColumn(total, F.col("_c") + F.col("_ls"))
+    cand = F.least(F.lit(0), F.coalesce(F.col("_m"), F.lit(0)),
+                   F.coalesce(F.col("_c") + F.col("_lmin"), F.lit(0)))
+    x = x.withColumn(min_before, cand.cast("long"))
+    return x.drop(b, "_ls", "_lmin", "_c", "_m")

@@ -19,9 +19,8 @@ from tallyspark.schema import AMOUNT_TYPE
 
 CENT_VALUE = Decimal("0.01")
 
-# Fixed values of the wallet export: the Type and Name of a redemption row.
-REDEMPTION_TYPE = "General Incentive/Certificate Redemption"
-REDEMPTION_NAME = "eBay Inc."
+from tallyspark.operators.marketplace import REDEMPTION_NAME, REDEMPTION_TYPE  # noqa: E402
+
 PAYMENT_TYPE = "Express Checkout Payment"
 
 LINEITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
@@ -281,12 +280,13 @@ SQL = {
          CAST(-value AS DECIMAL(18,2)) AS amount, CAST(0 AS DECIMAL(18,2)) AS balance,
          event_id * 2 AS _seq
   FROM events WHERE event_type = 'purchase' AND value > 2),
-wallet AS (
+wallet0 AS (
   SELECT * FROM wallet_pay
   UNION ALL
   SELECT date, currency, event_id, '{REDEMPTION_NAME}', '{REDEMPTION_TYPE}',
          CAST(1 AS DECIMAL(18,2)), CAST(amount + 1 AS DECIMAL(18,2)), event_id * 2 + 1
-  FROM wallet_pay WHERE event_id % 7 = 0)""",
+  FROM wallet_pay WHERE event_id % 7 = 0),
+wallet AS (SELECT *, 'wallet/' || strftime(date, '%Y-%m') AS system_id FROM wallet0)""",
     "money_text": """money_text AS (
   SELECT o_orderkey AS key,
          CASE WHEN o_orderkey % 5 = 0 THEN '-' || sym || num
