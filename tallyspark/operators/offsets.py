@@ -83,28 +83,41 @@ def _pair_ids_unlimited(x: DataFrame, cl: list[str], refund: bool, date: str, se
             .unionByName(pairs.select(F.col("_sn").alias(seq), "pair_id")))
 
 
-def _fifo(max_days: int, refund: bool, seq: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_day", "_neg", seq], kind="mergesort")
-        opens: dict[bool, list] = {False: [], True: []}   # per sign: (day, seq), FIFO
+def _fifo_stream(max_days: int, refund: bool, seq: str, nkeys: int):
+    """FIFO pairing over a partition sorted by (segment key, day, sign, seq).
+
+    State (two queues of open rows) resets whenever the segment key changes,
+    so one pass over the partition's Arrow batches pairs every segment in it.
+    """
+    def run(batches):
+        current = None
+        opens = {False: [], True: []}
         heads = {False: 0, True: 0}
-        out_s, out_p = [], []
-        for day, neg, s in zip(pdf["_day"].tolist(), pdf["_neg"].tolist(), pdf[seq].tolist()):
-            other = not neg
-            q, h = opens[other], heads[other]
-            while h < len(q) and day - q[h][0] >= max_days:
-                h += 1
-            heads[other] = h
-            if h < len(q):
-                _, partner = q[h]
-                heads[other] = h + 1
-                pid = min(partner, s)
-                out_s += [partner, s]
-                out_p += [pid, pid]
-            elif not (refund and neg):
-                opens[neg].append((day, s))
-        return pd.DataFrame({seq: pd.Series(out_s, dtype="int64"),
-                             "pair_id": pd.Series(out_p, dtype="int64")})
+        for pdf in batches:
+            out_s, out_p = [], []
+            keys = list(zip(*[pdf[f"_k{i}"].tolist() for i in range(nkeys)]))
+            for key, day, neg, s in zip(keys, pdf["_day"].tolist(), pdf["_neg"].tolist(),
+                                        pdf[seq].tolist()):
+                if key != current:
+                    current = key
+                    opens = {False: [], True: []}
+                    heads = {False: 0, True: 0}
+                other = not neg
+                q, h = opens[other], heads[other]
+                while h < len(q) and day - q[h][0] >= max_days:
+                    h += 1
+                if h < len(q):
+                    partner = q[h][1]
+                    heads[other] = h + 1
+                    pid = min(partner, s)
+                    out_s += [partner, s]
+                    out_p += [pid, pid]
+                else:
+                    heads[other] = h
+                    if not (refund and neg):
+                        opens[neg].append((day, s))
+            yield pd.DataFrame({seq: pd.Series(out_s, dtype="int64"),
+                                "pair_id": pd.Series(out_p, dtype="int64")})
     return run
 
 
@@ -121,5 +134,9 @@ def _pair_ids_limited(x: DataFrame, cl: list[str], max_days: int, refund: bool,
     days = days.withColumn("_segment", F.sum("_start").over(
         w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
     seg = live.join(days, cl + ["_day"], "inner")
-    return seg.groupBy(*cl, "_segment").applyInPandas(
-        _fifo(max_days, refund, seq), f"{seq} long, pair_id long")
+    keys = cl + ["_segment"]
+    seg = seg.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_day", "_neg", seq)
+    knames = [f"_k{i}" for i in range(len(keys))]
+    ordered = seg.repartition(*knames).sortWithinPartitions(*knames, "_day", "_neg", seq)
+    return ordered.mapInPandas(_fifo_stream(max_days, refund, seq, len(keys)),
+                               f"{seq} long, pair_id long")
