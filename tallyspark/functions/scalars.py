@@ -215,7 +215,11 @@ def ellipsis(text, n: int, mode: str = "append") -> Column:
 
 
 def path_ellipsis(path, n: int) -> Column:
-    """Shorten a path: keep the file name, shorten the folder part."""
+    """Shorten a path: keep the file name, shorten the folder part.
+
+    A file name longer than ``n`` keeps its tail behind the marker; when no
+    room is left for a shortened folder the bare file name is returned.
+    """
     _check_len(n)
     p = _c(path)
     name = F.regexp_extract(p, r"([^/]*)$", 1)
@@ -227,7 +231,7 @@ def path_ellipsis(path, n: int) -> Column:
     return (F.when(p.isNull(), F.lit(None))
             .when(F.length(p) <= n, p)
             .when(F.length(name) > n, ellipsis(name, n, "prepend"))
-            .when(room < F.lit(len(ELLIPSIS)), ellipsis(name, n, "prepend"))
+            .when(room < F.lit(len(ELLIPSIS)), name)
             .otherwise(F.concat(head, F.lit("/"), name)))
 
 

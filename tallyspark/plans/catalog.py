@@ -4,3 +4,4 @@ from tallyspark.plans import q_rules  # noqa: F401
 from tallyspark.plans.registry import ORACLES, QUERIES  # noqa: F401
 from tallyspark.plans import q_matching  # noqa: F401,E402
 from tallyspark.plans import q_quality  # noqa: F401,E402
+from tallyspark.plans import q_scalars  # noqa: F401,E402
