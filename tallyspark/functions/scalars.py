@@ -128,7 +128,7 @@ def parse_date(text, fmt: str) -> Column:
     t = F.trim(_c(text))
     if "MMM" in pattern:
         t = F.initcap(F.lower(t))
-    return F.try_to_date(t, F.lit(pattern))
+    return F.try_to_date(t, pattern)
 
 
 def format_date(col, fmt: str = "ledger") -> Column:
@@ -148,7 +148,7 @@ def month_day_in_period(month: Column, day: Column, begin: Column, end: Column)
     """
     def on_year(y):
         return F.try_to_date(F.format_string("%04d-%02d-%02d", y, month, day),
-                             F.lit("yyyy-MM-dd"))
+                             "yyyy-MM-dd")
 
     first = on_year(F.year(begin))
     chosen = F.when(first >= begin, first).otherwise(on_year(F.year(end)))
