@@ -6,3 +6,4 @@ from tallyspark.plans import q_matching  # noqa: F401,E402
 from tallyspark.plans import q_quality  # noqa: F401,E402
 from tallyspark.plans import q_scalars  # noqa: F401,E402
 from tallyspark.plans import q_sources  # noqa: F401,E402
+from tallyspark.plans import q_statements  # noqa: F401,E402
