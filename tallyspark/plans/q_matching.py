@@ -26,15 +26,17 @@ def _pairs(spark, sf_dir, days=DAYS, amount=AMOUNT):
     return M.candidate_pairs(fx.records(spark, sf_dir), fx.txns(spark, sf_dir), days, amount, R, T)
 
 
-def pairs_sql(days: int, amount: int) -> str:
+def pairs_sql(days: int, amount: int, r_rel: str = "records", t_rel: str = "txns",
+              r_key: str = "rid", t_key: str = "tid", r_date: str = "date", t_date: str = "date",
+              name: str = "pairs") -> str:
     d = f"CAST({amount} AS DECIMAL(18,0)) * 0.001"
-    return f"""pairs AS (
-  SELECT r.rid, t.tid, r.amount AS r_amount, t.amount AS t_amount, r._seq AS r_seq,
-         t._seq AS t_seq, r.amount - t.amount AS amount_diff,
-         CAST(t.date - r.date AS BIGINT) AS day_diff
-  FROM records r JOIN txns t ON r.currency IS NOT DISTINCT FROM t.currency
+    return f"""{name} AS (
+  SELECT r.{r_key} AS rid, t.{t_key} AS tid, r.amount AS r_amount, t.amount AS t_amount,
+         r._seq AS r_seq, t._seq AS t_seq, r.amount - t.amount AS amount_diff,
+         CAST(t.{t_date} - r.{r_date} AS BIGINT) AS day_diff
+  FROM {r_rel} r JOIN {t_rel} t ON r.currency IS NOT DISTINCT FROM t.currency
    AND abs(r.amount - t.amount) <= {d} * abs(r.amount)
-   AND abs(t.date - r.date) <= {days})"""
+   AND abs(t.{t_date} - r.{r_date}) <= {days})"""
 
 
 def scored_sql(src: str = "pairs", balance: int = BALANCE, days: int = DAYS) -> str:
@@ -42,25 +44,28 @@ def scored_sql(src: str = "pairs", balance: int = BALANCE, days: int = DAYS) ->
   SELECT * FROM (SELECT *, {M.score_sql(balance, days)} AS score FROM {src}) WHERE score > 0)"""
 
 
-def rounds_sql(src: str, group: list[str], rounds: int) -> str:
-    """CTEs m1..mR of mutual-best rounds over ``src``; ``matched`` unions them."""
+def rounds_sql(src: str, group: list[str], rounds: int, prefix: str = "",
+               out: str = "matched") -> str:
+    """CTEs m1..mR of mutual-best rounds over ``src``; ``out`` unions them."""
     g = ", ".join(group + [""]) if group else ""
     on = "".join(f" AND m.{c} = p.{c}" for c in group)
-    parts = [f"q0 AS MATERIALIZED (SELECT * FROM {src})"]
+    q = prefix + "q"
+    mm = prefix + "m"
+    parts = [f"{q}0 AS MATERIALIZED (SELECT * FROM {src})"]
     for i in range(1, rounds + 1):
-        parts.append(f"""m{i} AS MATERIALIZED (
+        parts.append(f"""{mm}{i} AS MATERIALIZED (
   SELECT {g}rid, tid, score FROM (
     SELECT *, row_number() OVER (PARTITION BY {g}rid ORDER BY score DESC, abs(day_diff),
                                  abs(amount_diff), t_seq) AS _rr,
               row_number() OVER (PARTITION BY {g}tid ORDER BY score DESC, abs(day_diff),
                                  abs(amount_diff), r_seq) AS _rt
-    FROM q{i - 1}) WHERE _rr = 1 AND _rt = 1)""")
-        parts.append(f"""q{i} AS MATERIALIZED (
-  SELECT * FROM q{i - 1} p
-  WHERE NOT EXISTS (SELECT 1 FROM m{i} m WHERE m.rid = p.rid{on})
-    AND NOT EXISTS (SELECT 1 FROM m{i} m WHERE m.tid = p.tid{on}))""")
-    parts.append("matched AS (" + " UNION ALL ".join(
-        f"SELECT * FROM m{i}" for i in range(1, rounds + 1)) + ")")
+    FROM {q}{i - 1}) WHERE _rr = 1 AND _rt = 1)""")
+        parts.append(f"""{q}{i} AS MATERIALIZED (
+  SELECT * FROM {q}{i - 1} p
+  WHERE NOT EXISTS (SELECT 1 FROM {mm}{i} m WHERE m.rid = p.rid{on})
+    AND NOT EXISTS (SELECT 1 FROM {mm}{i} m WHERE m.tid = p.tid{on}))""")
+    parts.append(f"{out} AS (" + " UNION ALL ".join(
+        f"SELECT * FROM {mm}{i}" for i in range(1, rounds + 1)) + ")")
     return ",\n".join(parts)
 
 
@@ -149,16 +154,29 @@ def reconcile_tags(spark, sf_dir):
             .select("rid", F.when(F.col("tags").isNotNull(), tags_to_text("tags")).alias("tags"), "tid"))
 
 
-def _grid_pairs_sql() -> str:
-    n_max = max(p.max_days for p in GRID)
-    a_max = max(p.max_amount for p in GRID)
+def grid_scored_sql(grid, src: str = "pairs", name: str = "gscored") -> str:
+    """Pairs of ``src`` repeated for every grid point admitting them, scored."""
     rows = []
-    for p in GRID:
+    for p in grid:
         d = f"CAST({p.max_amount} AS DECIMAL(18,0)) * 0.001"
         rows.append(f"""SELECT {p.grid_id} AS grid_id, * FROM (
-    SELECT *, {M.score_sql(p.balance, p.max_days)} AS score FROM pairs
+    SELECT *, {M.score_sql(p.balance, p.max_days)} AS score FROM {src}
     WHERE abs(day_diff) <= {p.max_days} AND abs(amount_diff) <= {d} * abs(r_amount)) WHERE score > 0""")
-    return pairs_sql(n_max, a_max) + ",\ngscored AS (\n" + "\nUNION ALL\n".join(rows) + ")"
+    return f"{name} AS (\n" + "\nUNION ALL\n".join(rows) + ")"
+
+
+def winner_sql(matched: str, name: str) -> str:
+    """Matches of the grid point with the most matches (lowest id on ties)."""
+    return f"""{name}_counts AS (SELECT grid_id, count(*) AS n FROM {matched} GROUP BY grid_id),
+{name}_best AS (SELECT min(grid_id) AS grid_id FROM {name}_counts
+                WHERE n = (SELECT max(n) FROM {name}_counts)),
+{name} AS (SELECT m.rid, m.tid, m.score FROM {matched} m JOIN {name}_best USING (grid_id))"""
+
+
+def _grid_pairs_sql() -> str:
+    n_max = max(p.max_days for p in GRID)
+    a_max = max(p.max_amount for p in GRID)
+    return pairs_sql(n_max, a_max) + ",\n" + grid_scored_sql(GRID)
 
 
 def _grid_values_sql() -> str:
