@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import plain_decimal
-from tallyspark.operators.sequence import with_sequence
+from tallyspark.operators.sequence import dense_rank_by
 from tallyspark.session import cut_lineage
 
 # Score scale and parameter limits.
@@ -241,7 +241,8 @@ def explode_grid(pairs: DataFrame, grid: Sequence[GridPoint]) -> DataFrame:
     adm = F.lit(False)
     for a in amounts:
         adm = F.when(amount_of == a, F.col(f"_adm{a}")).otherwise(adm)
-    x = x.filter(adm).select(*pairs.columns, at([p.grid_id for p in pts], "int").alias("grid_id"),
+    keep = [c for c in pairs.columns]
+    x = x.filter(adm).select(*keep, at([p.grid_id for p in pts], "int").alias("grid_id"),
                              score.alias("score"))
     return x.filter(F.col("score") > 0)
 
@@ -283,17 +284,31 @@ class Assignment:
     rounds: int
 
 
-PAIR_ORDER = ("score", "_ad", "_aa", "r_seq", "t_seq")
+# prio packs the strict pair order into one long (smaller is better):
+# (1000 - score) in the top bits, then the day gap, then the pair's dense rank
+# by (amount gap, record order, transaction order).
+_DAY_BITS, _RANK_BITS = 12, 41
+MAX_DAY_GAP = (1 << _DAY_BITS) - 1
 
 
-def rank_pairs(pairs: DataFrame) -> DataFrame:
-    """Add ``prio``: a unique long following the strict pair order (best
-    first).  One distributed range-partitioned sort; afterwards every "best
-    per record / per transaction" is a hash ``min(prio)``."""
+def with_pair_rank(pairs: DataFrame) -> DataFrame:
+    """``pair_rank``: dense rank of the pairs by (amount gap, record seq, txn
+    seq) - one distributed sort of the base pairs, shared by every grid point."""
     x = _with_gaps(pairs)
-    order = [F.col("score").desc(), F.col("_ad").asc(), F.col("_aa").asc(),
-             F.col("r_seq").asc(), F.col("t_seq").asc()]
-    return with_sequence(x, order, name="prio")
+    return dense_rank_by(x, [F.col("_aa").asc(), F.col("r_seq").asc(), F.col("t_seq").asc()],
+                         "pair_rank").drop("_ad", "_aa")
+
+
+def prio_expr() -> Column:
+    ad = F.abs(F.col("day_diff")).cast("long")
+    return (F.shiftleft(F.lit(MAX_MATCH_SCORE).cast("long") - F.col("score").cast("long"),
+                        _DAY_BITS + _RANK_BITS)
+            + F.shiftleft(ad, _RANK_BITS) + F.col("pair_rank"))
+
+
+def _check_packing(max_days: int) -> None:
+    if max_days > MAX_DAY_GAP:
+        raise ValueError(f"day tolerance {max_days} exceeds {MAX_DAY_GAP}")
 
 
 def _round(remaining: DataFrame, g: list[str]) -> DataFrame:
@@ -302,26 +317,44 @@ def _round(remaining: DataFrame, g: list[str]) -> DataFrame:
     return by_r.join(by_t, g + ["prio"], "inner").select(*g, "rid", "tid", "prio")
 
 
+def _prioritized(pairs: DataFrame) -> DataFrame:
+    if "pair_rank" not in pairs.columns:
+        pairs = with_pair_rank(pairs)
+    return pairs.withColumn("prio", prio_expr())
+
+
+def best_candidate(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Best scored pair per record (hash aggregate of the packed order)."""
+    g = list(group)
+    x = _prioritized(pairs)
+    best = x.groupBy(*g, "rid").agg(F.min("prio").alias("prio"))
+    return x.join(best, g + ["rid", "prio"], "left_semi").select(*g, "rid", "tid")
+
+
 def mutual_best(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Pairs that are the best for their record and for their transaction."""
     g = list(group)
-    return _round(rank_pairs(pairs).select(*g, "rid", "tid", "prio"), g).select(*g, "rid", "tid")
+    return _round(_prioritized(pairs).select(*g, "rid", "tid", "prio"), g).select(*g, "rid", "tid")
 
 
 def assign_one_to_one(pairs: DataFrame, group: Sequence[str] = (),
-                      max_rounds: int = 10_000) -> Assignment:
+                      max_rounds: int = 10_000, gaps: DataFrame | None = None) -> Assignment:
     """Greedy one-to-one matching (per ``group``) by the strict pair order.
 
     Rounds of mutual-best pairs equal the global greedy matching; every round
     takes at least the best remaining pair, so the loop ends.  A round only
-    moves ``(group, rid, tid, prio)``; the remaining pairs are checkpointed
+    moves ``(group, rid, tid, prio)`` - four primitive columns - through two
+    hash aggregates and a join; the remaining pairs are checkpointed
     (reliable) every round so lineage stays short and a lost executor only
-    recomputes one round.
+    recomputes one round.  Score and gaps are joined back for the result.
     """
     from pyspark import StorageLevel
     g = list(group)
-    ranked = cut_lineage(rank_pairs(pairs).select(*g, "rid", "tid", "prio", "score", *_CARRY))
-    remaining = ranked.select(*g, "rid", "tid", "prio")
+    x = _prioritized(pairs)
+    # The first round reads the pairs three times: keep them cached (they
+    # can be rebuilt from the checkpointed pair ranks if an executor is lost).
+    first = x.select(*g, "rid", "tid", "prio").persist(StorageLevel.MEMORY_AND_DISK)
+    remaining = first
     taken: list[DataFrame] = []
     rounds = 0
     while True:
@@ -339,11 +372,22 @@ def assign_one_to_one(pairs: DataFrame, group: Sequence[str] = (),
             break
     out_cols = g + ["rid", "tid", "score"] + list(_CARRY)
     if not taken:
-        return Assignment(ranked.select(*out_cols).limit(0), rounds)
-    chosen = taken[0].select("prio")
+        first.unpersist(blocking=False)
+        return Assignment(x.select(*out_cols).limit(0), rounds)
+    chosen = taken[0]
     for m in taken[1:]:
-        chosen = chosen.unionByName(m.select("prio"))
-    out = ranked.join(chosen, "prio", "left_semi").select(*out_cols)
+        chosen = chosen.unionByName(m)
+    score = (F.lit(MAX_MATCH_SCORE) - F.shiftright(F.col("prio"), _DAY_BITS + _RANK_BITS)).cast("int")
+    chosen = chosen.select(*g, "rid", "tid", score.alias("score"))
+    if gaps is not None:
+        # One row per (rid, tid), e.g. the base pairs a grid was exploded from.
+        out = chosen.join(gaps.select("rid", "tid", *_CARRY), ["rid", "tid"], "inner")
+    else:
+        out = chosen.join(pairs.select(*g, "rid", "tid", *_CARRY), g + ["rid", "tid"], "inner")
+    out = cut_lineage(out.select(*out_cols))
+    first.unpersist(blocking=False)
+    for m in taken:
+        m.unpersist(blocking=False)
     return Assignment(out, rounds)
 
 
@@ -375,33 +419,36 @@ def grid_reconcile(records: DataFrame, txns: DataFrame, grid: Sequence[GridPoint
     spark = records.sparkSession
     n_max = max(p.max_days for p in grid)
     a_max = max(p.max_amount for p in grid)
-    base = cut_lineage(candidate_pairs(recs, txns, n_max, a_max, r, t))
+    _check_packing(n_max)
+    # Candidate pairs at the loosest tolerances, ranked once for all points.
+    base = with_pair_rank(candidate_pairs(recs, txns, n_max, a_max, r, t))
     batch_size = batch_size or len(grid)
-    per_point: list[tuple[int, int, int | None]] = []
+    per_point: dict[int, tuple[int, int | None]] = {}
     best_count, best_point, best_matches, rounds = 0, None, None, 0
     for i in range(0, len(grid), batch_size):
         batch = list(grid[i:i + batch_size])
         scored = explode_grid(base, batch)
-        a = assign_one_to_one(scored, ["grid_id"])
+        a = assign_one_to_one(scored, ["grid_id"], gaps=base)
         rounds = max(rounds, a.rounds)
         # One row per grid point: bounded by the grid size.
-        counts = {row["grid_id"]: (row["n"], row["min_score"]) for row in
-                  a.matches.groupBy("grid_id").agg(F.count(F.lit(1)).alias("n"),
-                                                   F.min("score").alias("min_score")).collect()}
+        for row in a.matches.groupBy("grid_id").agg(
+                F.count(F.lit(1)).alias("n"), F.min("score").alias("min_score")).collect():
+            per_point[row["grid_id"]] = (row["n"], row["min_score"])
         for p in batch:
-            n, mn = counts.get(p.grid_id, (0, None))
-            per_point.append((p.grid_id, n, mn))
+            n, _ = per_point.get(p.grid_id, (0, None))
             if n > best_count:
                 best_count, best_point, best_matches = n, p, a.matches
-    n_rec = recs.count()
-    n_txn = txns.count()
-    rows = []
-    for p, (gid, n, mn) in zip(grid, per_point):
-        rows.append((gid, p.max_days, p.max_amount, p.balance, n, mn, n_rec - n, n_txn - n,
-                     best_point is not None and gid == best_point.grid_id))
-    report = spark.createDataFrame(rows, "grid_id int, max_days int, max_amount int, balance int, "
-                                         "matched long, min_score int, unmatched long, "
-                                         "unclaimed long, chosen boolean")
+    chosen = best_point.grid_id if best_point is not None else -1
+    rows = [(p.grid_id, p.max_days, p.max_amount, p.balance) + per_point.get(p.grid_id, (0, None))
+            + (p.grid_id == chosen,) for p in grid]
+    pts = spark.createDataFrame(rows, "grid_id int, max_days int, max_amount int, balance int, "
+                                      "matched long, min_score int, chosen boolean")
+    n_rec = recs.select(F.count(F.lit(1))).scalar()     # scalar subqueries
+    n_txn = txns.select(F.count(F.lit(1))).scalar()
+    report = pts.select(
+        "grid_id", "max_days", "max_amount", "balance", "matched", "min_score",
+        (n_rec - F.col("matched")).alias("unmatched"),
+        (n_txn - F.col("matched")).alias("unclaimed"), "chosen")
     if best_point is None:
         empty = base.limit(0).select("rid", "tid", F.lit(0).alias("score"), "amount_diff", "day_diff")
         return Reconciliation(empty, report, None, rounds)

@@ -78,12 +78,10 @@ def run_summary(routed: DataFrame, kept: DataFrame, discarded: DataFrame,
         F.count(F.when(F.col("status") == "unrecognised", 1)).alias("files_unrecognised"),
         F.count(F.when(F.col("status") == "skipped", 1)).alias("files_skipped"),
         F.coalesce(F.sum("records"), F.lit(0)).cast("long").alias("records_harvested"))
-    k = kept.agg(F.count(F.lit(1)).alias("records_kept"))
-    d = discarded.agg(F.count(F.lit(1)).alias("records_discarded"))
-    # Single-row frames combined by a constant key (one row each).
-    one = F.lit(1).alias("_one")
-    out = (files.select("*", one).join(k.select("*", one), "_one")
-                .join(d.select("*", one), "_one"))
+    # Counts of the other frames as scalar subqueries of the one-row file summary.
+    cols = [F.col("*"),
+            kept.select(F.count(F.lit(1))).scalar().alias("records_kept"),
+            discarded.select(F.count(F.lit(1))).scalar().alias("records_discarded")]
     if rejects is not None:
-        out = out.join(rejects.agg(F.count(F.lit(1)).alias("records_rejected")).select("*", one), "_one")
-    return out.drop("_one")
+        cols.append(rejects.select(F.count(F.lit(1))).scalar().alias("records_rejected"))
+    return files.select(*cols)

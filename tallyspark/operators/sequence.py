@@ -114,3 +114,26 @@ def prefix_sum_min(df: DataFrame, group: Sequence[str], order: Sequence[str], va
                    F.coalesce(F.col("_c") + F.col("_lmin"), F.lit(0)))
     x = x.withColumn(min_before, cand.cast("long"))
     return x.drop(b, "_ls", "_lmin", "_c", "_m")
+
+
+def dense_rank_by(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """Dense 0-based rank in a total order, computed without a single-task window.
+
+    Range-partitioned sort, then each row's rank is its partition's offset
+    (prefix sum of the per-partition counts: one row per partition, so the
+    offset table is bounded by the partition count and safe to broadcast)
+    plus its position inside the partition.  The sorted frame is checkpointed
+    first so partition ids and positions are stable.
+    """
+    from tallyspark.session import cut_lineage
+    order_cols = _cols(order)
+    s = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    s = cut_lineage(s.withColumn("_pid", F.spark_partition_id())
+                     .withColumn("_mid", F.monotonically_increasing_id()))
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return (s.join(F.broadcast(offsets), "_pid")
+             .withColumn(name, (F.col("_off") + pos).cast("long"))
+             .drop("_pid", "_mid", "_off"))
