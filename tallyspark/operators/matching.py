@@ -421,7 +421,7 @@ def grid_reconcile(records: DataFrame, txns: DataFrame, grid: Sequence[GridPoint
     a_max = max(p.max_amount for p in grid)
     _check_packing(n_max)
     # Candidate pairs at the loosest tolerances, ranked once for all points.
-    base = with_pair_rank(candidate_pairs(recs, txns, n_max, a_max, r, t))
+    base = cut_lineage(with_pair_rank(candidate_pairs(recs, txns, n_max, a_max, r, t)))
     batch_size = batch_size or len(grid)
     per_point: dict[int, tuple[int, int | None]] = {}
     best_count, best_point, best_matches, rounds = 0, None, None, 0
