@@ -218,7 +218,13 @@ class Pipeline:
         return [by_id[i] for i in ids]
 
     def run(self, df: DataFrame, ids: Sequence[str] | None = None) -> RuleResult:
-        cur = df.withColumn(DISCARD_COL, F.lit(False)) if DISCARD_COL not in df.columns else df
+        cur = df
+        if DISCARD_COL not in cur.columns:
+            cur = cur.withColumn(DISCARD_COL, F.lit(False))
+        if RULE_COL not in cur.columns:
+            cur = cur.withColumn(RULE_COL, F.lit(None).cast("int"))
+        if PASS_COL not in cur.columns:
+            cur = cur.withColumn(PASS_COL, F.lit(None).cast("string"))
         sides: dict[str, DataFrame] = {}
         for p in self.select(ids):
             if isinstance(p, RulePass):
