@@ -405,13 +405,16 @@ class Reconciliation:
 
 def grid_reconcile(records: DataFrame, txns: DataFrame, grid: Sequence[GridPoint],
                    r: Side = LEDGER_SIDE, t: Side = LEDGER_SIDE,
-                   eligible: Column | None = None, batch_size: int | None = None) -> Reconciliation:
+                   eligible: Column | None = None, batch_size: int | None = None,
+                   max_batch_rows: int = 40_000_000) -> Reconciliation:
     """Match records to transactions at every grid point; keep the point with
     the most matches (the first one in grid order on ties; none if no point
     matches anything).  Grid points are independent of each other.
 
     ``eligible`` restricts which records take part (the others stay unmatched).
-    ``batch_size`` bounds how many grid points share one matching job.
+    ``batch_size`` bounds how many grid points share one matching job; by
+    default it is sized so one job handles about ``max_batch_rows``
+    (pair, point) rows, from an exact count of the admitted points per pair.
     """
     if not grid:
         raise ValueError("empty grid")
@@ -422,7 +425,8 @@ def grid_reconcile(records: DataFrame, txns: DataFrame, grid: Sequence[GridPoint
     _check_packing(n_max)
     # Candidate pairs at the loosest tolerances, ranked once for all points.
     base = cut_lineage(with_pair_rank(candidate_pairs(recs, txns, n_max, a_max, r, t)))
-    batch_size = batch_size or len(grid)
+    if batch_size is None:
+        batch_size = _batch_size(base, grid, max_batch_rows)
     per_point: dict[int, tuple[int, int | None]] = {}
     best_count, best_point, best_matches, rounds = 0, None, None, 0
     for i in range(0, len(grid), batch_size):
@@ -456,6 +460,22 @@ def grid_reconcile(records: DataFrame, txns: DataFrame, grid: Sequence[GridPoint
     return Reconciliation(m, report, best_point, rounds)
 
 
+def _batch_size(base: DataFrame, grid: Sequence[GridPoint], max_rows: int) -> int:
+    """Grid points per job so that one job sees about ``max_rows`` rows."""
+    # Points whose day tolerance admits the pair (amount limits only lower
+    # this, so the count is an upper bound).
+    gap = F.abs(F.col("day_diff"))
+    admitted = F.lit(0)
+    for n_days in sorted({p.max_days for p in grid}):
+        same = sum(1 for p in grid if p.max_days == n_days)
+        admitted = admitted + F.when(gap <= n_days, F.lit(same)).otherwise(F.lit(0))
+    total = base.select(F.sum(admitted).alias("n")).first()["n"] or 0
+    if total <= max_rows:
+        return len(grid)
+    batches = -(-total // max_rows)
+    return max(1, -(-len(grid) // batches))
+
+
 def reconcile(records: DataFrame, txns: DataFrame, max_days: int, max_amount: int,
               balance: int = DEFAULT_BALANCE, r: Side = LEDGER_SIDE, t: Side = LEDGER_SIDE,
               eligible: Column | None = None) -> Reconciliation:

@@ -120,3 +120,13 @@ def test_unclaimed(spark):
     txns = spark.createDataFrame([(1,), (2,)], "_seq long")
     m = spark.createDataFrame([(9, 2)], "rid long, tid long")
     assert [r[0] for r in M.unclaimed(txns, m).collect()] == [1]
+
+
+def test_grid_batches_give_same_result(spark):
+    recs, txns, rdf, tdf = frames(spark, 11)
+    grid = M.make_grid([1, 3], [50, 100], [500, 700])
+    whole = M.grid_reconcile(rdf, tdf, grid, R, T)
+    parts = M.grid_reconcile(rdf, tdf, grid, R, T, max_batch_rows=50)
+    assert whole.winner == parts.winner
+    assert sorted(tuple(r) for r in whole.report.collect()) == sorted(tuple(r) for r in parts.report.collect())
+    assert {tuple(r) for r in whole.matches.collect()} == {tuple(r) for r in parts.matches.collect()}
