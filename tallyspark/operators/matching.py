@@ -217,7 +217,8 @@ def explode_grid(pairs: DataFrame, grid: Sequence[GridPoint]) -> DataFrame:
     def arr(values, typ):
         return F.array(*[F.lit(v).cast(typ) for v in values])
 
-    x = pairs.withColumn("_absd", F.abs(F.col("day_diff")).cast("int"))
+    # Pairs beyond the loosest day tolerance of these points are admitted by none.
+    x = pairs.withColumn("_absd", F.abs(F.col("day_diff")).cast("int")).filter(F.col("_absd") <= n_max)
     amounts = sorted({p.max_amount for p in pts})
     for a in amounts:
         d = Decimal(a) / Decimal(MAX_AMOUNT_DIFF)
