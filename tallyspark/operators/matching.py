@@ -407,7 +407,7 @@ class Reconciliation:
 def grid_reconcile(records: DataFrame, txns: DataFrame, grid: Sequence[GridPoint],
                    r: Side = LEDGER_SIDE, t: Side = LEDGER_SIDE,
                    eligible: Column | None = None, batch_size: int | None = None,
-                   max_batch_rows: int = 40_000_000) -> Reconciliation:
+                   max_batch_rows: int = 400_000_000) -> Reconciliation:
     """Match records to transactions at every grid point; keep the point with
     the most matches (the first one in grid order on ties; none if no point
     matches anything).  Grid points are independent of each other.
