@@ -261,21 +261,6 @@ def _with_gaps(pairs: DataFrame) -> DataFrame:
                  .withColumn("_aa", F.abs(F.col("amount_diff")).cast(GAP_TYPE)))
 
 
-def _rank_struct(other_seq: str, other_key: str, carry: Sequence[str] = ()) -> Column:
-    """Larger is better: score, then smaller day gap, smaller amount gap,
-    then earlier partner."""
-    return F.struct(F.col("score"), (-F.col("_ad")).alias("ad"), (-F.col("_aa")).alias("aa"),
-                    (-F.col(other_seq)).alias("os"), F.col(other_key).alias("k"),
-                    *[F.col(c) for c in carry])
-
-
-def best_candidate(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Best scored pair per record (partial aggregation, no window sort)."""
-    g = list(group)
-    best = _with_gaps(pairs).groupBy(*g, "rid").agg(F.max(_rank_struct("t_seq", "tid")).alias("_b"))
-    return best.select(*g, "rid", F.col("_b.k").alias("tid"))
-
-
 _CARRY = ("amount_diff", "day_diff")
 
 

@@ -40,11 +40,6 @@ def with_sequence(df: DataFrame, order: Sequence[str | Column], name: str = "_se
         name, F.monotonically_increasing_id()))
 
 
-def default_block(seq_col: str = "_seq", bits: int = 20) -> Column:
-    """Block of about ``2**bits`` consecutive sequence numbers."""
-    return F.shiftright(F.col(seq_col), bits)
-
-
 def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str],
                   block: Column, name: str = "_rank") -> DataFrame:
     """``row_number()`` over ``partitionBy(group).orderBy(order)``.
