@@ -353,7 +353,9 @@ def assign_one_to_one(pairs: DataFrame, group: Sequence[str] = (),
         taken.append(m)
         remaining = (remaining.join(m.select(*g, "rid"), g + ["rid"], "left_anti")
                               .join(m.select(*g, "tid"), g + ["tid"], "left_anti"))
-        remaining = cut_lineage(remaining)
+        # Per-round frames are small after the first round: a reliable RDD
+        # checkpoint avoids a table commit per round.
+        remaining = cut_lineage(remaining, how="checkpoint")
         if remaining.isEmpty():
             break
     out_cols = g + ["rid", "tid", "score"] + list(_CARRY)
@@ -370,7 +372,7 @@ def assign_one_to_one(pairs: DataFrame, group: Sequence[str] = (),
         out = chosen.join(gaps.select("rid", "tid", *_CARRY), ["rid", "tid"], "inner")
     else:
         out = chosen.join(pairs.select(*g, "rid", "tid", *_CARRY), g + ["rid", "tid"], "inner")
-    out = cut_lineage(out.select(*out_cols))
+    out = cut_lineage(out.select(*out_cols), how="checkpoint")
     first.unpersist(blocking=False)
     for m in taken:
         m.unpersist(blocking=False)

@@ -52,14 +52,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never a local checkpoint.
-
-    The frame is persisted first so that writing the checkpoint reads the
-    cached rows instead of computing the plan a second time.
+def cut_lineage(df: DataFrame, how: str = "table") -> DataFrame:
+    """Materialise ``df`` durably and return a frame that reads it back.
+
+    ``how="table"`` (default) writes a parquet table under the shared
+    checkpoint folder: columnar, compressed, and read back with column
+    pruning.  ``how="checkpoint"`` uses a reliable RDD checkpoint (persisted
+    first so the plan is computed once).  Never a local checkpoint: either
+    form survives the loss of executors.
     """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if how == "table":
+        path = scratch_path(spark, "lineage")
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    if how != "checkpoint":
+        raise ValueError(how)
     from pyspark import StorageLevel
-    ensure_checkpoint_dir(df.sparkSession)
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = cached.checkpoint(eager=True)
     cached.unpersist(blocking=False)
