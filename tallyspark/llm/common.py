@@ -124,3 +124,30 @@ def bounded_sample(df: DataFrame, key: Column, rows: int, total: int) -> DataFra
         return df
     cut = int(rows / total * (1 << 30))
     return df.where(F.pmod(F.xxhash64(key, F.lit(20)), F.lit(1 << 30)) < cut)
+
+
+def word_grams(words: pa.Array, sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the character n-grams of each word, edges marked, and each gram's word number."""
+    marked = pc.binary_join_element_wise("\x02", words, "\x03", "")
+    lengths = pc.utf8_length(marked).to_numpy().astype(np.int64)
+    points = np.frombuffer("".join(marked.to_pylist()).encode("utf-32-le"), "<u4").astype(np.uint64)
+    row = np.repeat(np.arange(len(words)), lengths)
+    hashes, rows = [], []
+    rolling = np.zeros(len(points), np.uint64)
+    for n in range(1, max(sizes) + 1):
+        rolling = rolling[:len(points) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1:]
+        if n in sizes and len(rolling):
+            inside = row[:len(rolling)] == row[n - 1:]
+            hashes.append(mix64(rolling[inside] + np.uint64(n)))
+            rows.append(row[:len(rolling)][inside])
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(rows)
+
+
+def plain_words(words: pa.Array) -> pa.Array:
+    """Lower-case words without the punctuation around them."""
+    return pc.utf8_trim(pc.utf8_lower(words), characters=_PUNCTUATION)
+
+
+_PUNCTUATION = ".,;:!?\"'()[]{}<>|#*$%&=+-_/\\~`^@"

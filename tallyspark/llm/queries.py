@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat
-from tallyspark.llm.common import table
+from tallyspark.llm import chat, langid, toxicity
+from tallyspark.llm.common import held_out, learnable, table
 from tallyspark.llm.sentencepiece_bpe import encode_documents
 from tallyspark.llm.token_counts import count_tokens
 
@@ -26,6 +26,15 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by a filter learnt from those not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(learnable(F.col("doc_id"))))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query()
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; sizes and digests of both."""
@@ -42,6 +51,21 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(chat.with_marked(table(spark, sf_dir, "conversations"))))
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Classifier:
+    """A classifier learnt from the texts and labels of documents not held out."""
+    may = learnable(F.col("doc_id"))
+    return toxicity.fit(table(spark, sf_dir, "documents").where(may), table(spark, sf_dir, "labels").where(may))
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query()
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
