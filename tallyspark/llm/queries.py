@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, langid, toxicity
-from tallyspark.llm.common import held_out, learnable, table
+from tallyspark.llm import chat, langid, quality, toxicity, url_filters
+from tallyspark.llm.common import held_out, learnable, table, written
 from tallyspark.llm.sentencepiece_bpe import encode_documents
 from tallyspark.llm.token_counts import count_tokens
 
@@ -51,6 +51,19 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(chat.with_marked(table(spark, sf_dir, "conversations"))))
 
 
+@query()
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, with cutoffs per language from the quality labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    measured = written(quality.measure(docs, keep=("doc_id", "lang")), "op5")
+    good = (table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+            .where("quality = 1").select("doc_id"))
+    labelled = measured.join(good, "doc_id", "left_semi")
+    judged = quality.judge(measured, "lang", quality.choose_cutoffs(labelled, "lang", ~quality.base_failed()))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Classifier:
     """A classifier learnt from the texts and labels of documents not held out."""
     may = learnable(F.col("doc_id"))
@@ -73,3 +86,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     counted = count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "n_bytes"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query()
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url; pages whose title is junk (runs of symbols) are the labelled bad ones."""
+    title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
+    bad = F.when(title != "", title.rlike(r"[%*$#]{3}|(&amp;){3}"))
+    judged = url_filters.judge_urls(table(spark, sf_dir, "pages"), url_filters.RULES, bad)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template")
