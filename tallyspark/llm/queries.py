@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, langid, quality, toxicity, url_filters
+from tallyspark.llm import chat, langid, mixing, quality, toxicity, url_filters
 from tallyspark.llm.common import held_out, learnable, table, written
 from tallyspark.llm.sentencepiece_bpe import encode_documents
 from tallyspark.llm.token_counts import count_tokens
@@ -26,6 +26,15 @@ def query(sql: str | None = None):
     return add
 
 
+@query(mixing.ORACLE)
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a weighted mix of four fifths of all tokens, and their number of copies."""
+    docs = mixing.with_levels(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    slim = written(docs.select("doc_id", *mixing.LEVELS, mixing.count_words(F.col("text")).alias("n_tokens")), "op1")
+    plan = mixing.make_plan(slim, mixing.budget(), mixing.WEIGHTS, mixing.MAX_EPOCHS, mixing.SEED)
+    return mixing.apply_plan(slim, plan, mixing.SEED)
+
+
 @query()
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, by a filter learnt from those not held out."""
