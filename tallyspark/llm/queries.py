@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, langid, mixing, mtree, quality, toxicity, url_filters
+from tallyspark.llm import chat, langid, minhash, mixing, mtree, quality, toxicity, url_filters
 from tallyspark.llm.common import held_out, learnable, table, written
 from tallyspark.llm.sentencepiece_bpe import encode_documents
 from tallyspark.llm.token_counts import count_tokens
@@ -88,6 +88,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query(minhash.ORACLE)
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document; the smallest id of each is kept."""
+    return minhash.with_kept(minhash.link(table(spark, sf_dir, "documents")))
+
+
 @query(mtree.ORACLE)
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best of all other vectors for every fiftieth."""
