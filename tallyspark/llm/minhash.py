@@ -65,12 +65,14 @@ def _needed(a: Column, b: Column) -> Column:
     return F.ceil((a + b) * PERCENT / float(100 + PERCENT) - 1e-9)
 
 
+def small_ids(ids: DataFrame) -> DataFrame:
+    """A frame of ids, broadcast if their checked number is within the bound."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _ids_of(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of ``docs`` whose key is in ``ids``; the ids are broadcast up to a checked size."""
-    picked = ids.select(F.col("id").alias(key)).distinct()
-    if picked.count() <= BROADCAST_IDS:
-        picked = F.broadcast(picked)
-    return docs.join(picked, key, "left_semi")
+    """Rows of ``docs`` whose key is in ``ids``."""
+    return docs.join(small_ids(ids.select(F.col("id").alias(key)).distinct()), key, "left_semi")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
