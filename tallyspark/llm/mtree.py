@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import written
 
 #: Vectors of a tree, trees at most (their pivots and radii are broadcast), entries of inner and of leaf pages.
-TREE_ROWS, MAX_TREES, FANOUT, LEAF_ROWS = 20_000, 4_096, 32, 256
+TREE_ROWS, MAX_TREES, FANOUT, LEAF_ROWS = 20_000, 4_096, 32, 1_024
 #: Distinct query vectors that a task takes on together.
 QUERY_BLOCK = 4_096
 
@@ -140,10 +140,14 @@ class Tree:
             at = np.flatnonzero(space.best_product(bound, square) >= least)
             if not len(at):
                 continue
-            products = vectors[at] @ query
+            if 2 * len(at) > len(vectors):  # taking most rows costs more than their products
+                at, products = np.arange(len(vectors)), vectors @ query
+            else:
+                products = vectors[at] @ query
             if leaf:
-                order = np.argsort(-products, kind="stable")
-                for i, score in zip(at[order].tolist(), products[order].tolist()):
+                good = np.flatnonzero(products >= least)
+                good = good[np.argsort(-products[good], kind="stable")]
+                for i, score in zip(at[good].tolist(), products[good].tolist()):
                     if score < least:
                         break
                     for id_ in extra[i]:
