@@ -9,12 +9,15 @@ Pipeline (all DataFrame code, no driver loops over data):
    record side is exploded (to the 1-4 bucket pairs its ranges touch); the
    transaction side keeps one bucket, so each pair meets exactly once.
 2. ``score_pairs`` - score 0..1000 mixing the amount and day gaps by ``balance``.
-3. ``assign_one_to_one`` - greedy one-to-one matching by a strict total order
-   (score desc, day gap, amount gap, record order, transaction order), run as
-   rounds of mutual-best pairs; each round is two partial aggregations and a
-   join, and its result is checkpointed to the shared checkpoint folder.
+3. One-to-one matching is greedy by a strict order: score desc, day gap, amount
+   gap, later dates and smaller amounts on the transaction side last, record
+   order, transaction order.  Equal (currency, amount, date) rows of a side form
+   a class; the order tells a class's partners apart, so classes are matched as
+   a whole (k-th row to k-th row) and neither pairs nor rounds grow with them.
 4. ``grid_reconcile`` - every point of a (days x amount x balance) grid at
-   once, keyed by ``grid_id``; the point with the most matches wins.
+   once: a class pair is one row with a bit mask of the points where it is still
+   open, expanded only inside the two aggregations of a round.  The point with
+   the most matches wins.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import plain_decimal
 from tallyspark.operators.sequence import dense_rank_by
-from tallyspark.session import cut_lineage
+from tallyspark.session import cut_lineage, release
 
 # Score scale and parameter limits.
 MAX_MATCH_SCORE = 1000
@@ -200,183 +203,178 @@ def score_pairs(pairs: DataFrame, balance: int = DEFAULT_BALANCE, max_days: int
     return pairs.withColumn("score", score_expr(balance, max_days)).filter(F.col("score") > 0)
 
 
-def explode_grid(pairs: DataFrame, grid: Sequence[GridPoint]) -> DataFrame:
-    """One row per (pair, grid point admitting it) with the point's score.
-
-    The grid is a short driver-side parameter list held in literal arrays, so
-    this is a narrow, codegen-friendly explode, not a join.  Points are sorted
-    by ``max_days``: the points admitting a pair's day gap are a suffix of
-    that order, so only those are emitted; their parameters are looked up
-    by position with ``element_at``.
-    """
-    pts = sorted(grid, key=lambda p: (p.max_days, p.grid_id))
-    n_max = pts[-1].max_days
-    # start[k] = number of points whose day tolerance is below k.
-    start = [sum(1 for p in pts if p.max_days < k) for k in range(n_max + 1)]
-
-    def arr(values, typ):
-        return F.array(*[F.lit(v).cast(typ) for v in values])
-
-    # Pairs beyond the loosest day tolerance of these points are admitted by none.
-    x = pairs.withColumn("_absd", F.abs(F.col("day_diff")).cast("int")).filter(F.col("_absd") <= n_max)
-    amounts = sorted({p.max_amount for p in pts})
-    for a in amounts:
-        d = Decimal(a) / Decimal(MAX_AMOUNT_DIFF)
-        x = x.withColumn(f"_adm{a}", F.abs(F.col("amount_diff")) <= F.lit(d) * F.abs(F.col("r_amount")))
-    ra, ta = F.abs(F.col("r_amount")), F.abs(F.col("t_amount"))
-    big = F.greatest(ra, ta)
-    x = x.withColumn("_rel", F.when(big == 0, F.lit(0.0)).otherwise(
-        F.abs(F.col("amount_diff")).cast("double") / big.cast("double")))
-    first = F.element_at(arr(start, "int"), F.col("_absd") + 1)
-    x = x.withColumn("_pos", F.explode(F.sequence(first, F.lit(len(pts) - 1))))
-
-    def at(values, typ):
-        return F.element_at(arr(values, typ), F.col("_pos") + 1)
-
-    b = at([p.balance / MAX_BALANCE for p in pts], "double")
-    nb = at([1.0 - p.balance / MAX_BALANCE for p in pts], "double")
-    n1 = at([float(p.max_days + 1) for p in pts], "double")
-    s = b * (F.lit(1.0) - F.col("_rel")) + nb * (F.lit(1.0) - F.col("_absd").cast("double") / n1)
-    score = F.floor(F.round(F.lit(float(MAX_MATCH_SCORE)) * s, 6)).cast("int")
-    amount_of = at([p.max_amount for p in pts], "int")
-    adm = F.lit(False)
-    for a in amounts:
-        adm = F.when(amount_of == a, F.col(f"_adm{a}")).otherwise(adm)
-    keep = [c for c in pairs.columns]
-    x = x.filter(adm).select(*keep, at([p.grid_id for p in pts], "int").alias("grid_id"),
-                             score.alias("score"))
-    return x.filter(F.col("score") > 0)
-
-
 # ---------------------------------------------------------------------------
-# Best candidate, mutual best, one-to-one
+# Best candidate, mutual best
 # ---------------------------------------------------------------------------
 
-GAP_TYPE = "decimal(18,4)"
-
-
-def _with_gaps(pairs: DataFrame) -> DataFrame:
-    """Sort keys of the pair order as compact columns (long-backed decimal)."""
-    return (pairs.withColumn("_ad", F.abs(F.col("day_diff")).cast("int"))
-                 .withColumn("_aa", F.abs(F.col("amount_diff")).cast(GAP_TYPE)))
-
-
-_CARRY = ("amount_diff", "day_diff")
-
-
-@dataclasses.dataclass
-class Assignment:
-    matches: DataFrame
-    rounds: int
-
+def _pair_order(seq: Sequence[str]) -> Column:
+    """The order of pairs as a struct: smaller is better."""
+    return F.struct((-F.col("score")).alias("o0"), F.abs(F.col("day_diff")).alias("o1"),
+                    F.abs(F.col("amount_diff")).alias("o2"), (F.col("day_diff") < 0).alias("o3"),
+                    (F.col("amount_diff") < 0).alias("o4"), *[F.col(c) for c in seq])
 
-# prio packs the strict pair order into one long (smaller is better):
-# (1000 - score) in the top bits, then the day gap, then the pair's dense rank
-# by (amount gap, record order, transaction order).
-_DAY_BITS, _RANK_BITS = 12, 41
-MAX_DAY_GAP = (1 << _DAY_BITS) - 1
 
-
-def with_pair_rank(pairs: DataFrame) -> DataFrame:
-    """``pair_rank``: dense rank of the pairs by (amount gap, record seq, txn
-    seq) - one distributed sort of the base pairs, shared by every grid point."""
-    x = _with_gaps(pairs)
-    return dense_rank_by(x, [F.col("_aa").asc(), F.col("r_seq").asc(), F.col("t_seq").asc()],
-                         "pair_rank").drop("_ad", "_aa")
-
-
-def prio_expr() -> Column:
-    ad = F.abs(F.col("day_diff")).cast("long")
-    return (F.shiftleft(F.lit(MAX_MATCH_SCORE).cast("long") - F.col("score").cast("long"),
-                        _DAY_BITS + _RANK_BITS)
-            + F.shiftleft(ad, _RANK_BITS) + F.col("pair_rank"))
+def best_candidate(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Best scored pair per record."""
+    best = pairs.groupBy(*group, "rid").agg(F.min(_pair_order(["t_seq", "tid"])).alias("b"))
+    return best.select(*group, "rid", F.col("b")["tid"].alias("tid"))
 
 
-def _check_packing(max_days: int) -> None:
-    if max_days > MAX_DAY_GAP:
-        raise ValueError(f"day tolerance {max_days} exceeds {MAX_DAY_GAP}")
+def mutual_best(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Pairs that are the best for their record and for their transaction."""
+    by_r = best_candidate(pairs, group)
+    by_t = pairs.groupBy(*group, "tid").agg(F.min(_pair_order(["r_seq", "rid"])).alias("b"))
+    return by_r.join(by_t.select(*group, "tid", F.col("b")["rid"].alias("rid")), [*group, "rid", "tid"])
 
 
-def _round(remaining: DataFrame, g: list[str]) -> DataFrame:
-    by_r = remaining.groupBy(*g, "rid").agg(F.min("prio").alias("prio"))
-    by_t = remaining.groupBy(*g, "tid").agg(F.min("prio").alias("prio"))
-    return by_r.join(by_t, g + ["prio"], "inner").select(*g, "rid", "tid", "prio")
+# ---------------------------------------------------------------------------
+# One-to-one matching of classes, all grid points at once
+# ---------------------------------------------------------------------------
 
+#: Points that share one bit mask.
+MASK_POINTS = 63
+
+
+def _classes(rows: DataFrame, side: Side) -> DataFrame:
+    """One row per (currency, amount, date) of a side, named by its smallest sequence number."""
+    return (rows.select(F.col(side.currency).alias("currency"), F.col(side.amount).alias("amount"),
+                        F.col(side.date).cast("date").alias("date"), F.col(side.seq).alias("seq"))
+            .groupBy("currency", "amount", "date").agg(F.min("seq").alias("cid"), F.count(F.lit(1)).alias("n")))
+
+
+def _members(rows: DataFrame, classes: DataFrame, side: Side, key: str) -> DataFrame:
+    """(``cid``, ``k``, key): the rows of each class in sequence order, numbered from 0."""
+    own = rows.select(F.col(side.key).alias(key), F.col(side.currency).alias("currency"),
+                      F.col(side.amount).alias("amount"), F.col(side.date).cast("date").alias("date"),
+                      F.col(side.seq).alias("seq"))
+    many = classes.filter(F.col("n") > 1)
+    single = own.join(classes.filter(F.col("n") == 1).select(F.col("cid").alias("seq")), "seq", "left_semi")
+    out = single.select(F.col("seq").alias("cid"), F.lit(0).cast("long").alias("k"), key)
+    if many.isEmpty():
+        return out
+    same = [own[c].eqNullSafe(many[c]) for c in ("currency", "amount", "date")]
+    placed = dense_rank_by(own.join(many, same).select("cid", "seq", key), ["cid", "seq"], "place")
+    first = placed.groupBy("cid").agg(F.min("place").alias("first"))
+    return out.unionByName(placed.join(first, "cid").select("cid", (F.col("place") - F.col("first")).alias("k"), key))
+
+
+def _literals(values, typ: str) -> Column:
+    return F.array(*[F.lit(v).cast(typ) for v in values])
+
+
+def _with_mask(pairs: DataFrame, points: Sequence[GridPoint]) -> DataFrame:
+    """``pairs`` with ``mask``: the points (by position; sorted by ``max_days``) that admit the pair."""
+    by_day = F.lit(0).cast("long")
+    for k in sorted({p.max_days for p in points}):
+        bits = F.lit(sum(1 << i for i, p in enumerate(points) if p.max_days == k)).cast("long")
+        by_day = by_day.bitwiseOR(F.when(F.col("_absd") <= k, bits).otherwise(F.lit(0).cast("long")))
+    mask = F.lit(0).cast("long")
+    for a in sorted({p.max_amount for p in points}):
+        d = Decimal(a) / Decimal(MAX_AMOUNT_DIFF)
+        bits = F.lit(sum(1 << i for i, p in enumerate(points) if p.max_amount == a)).cast("long")
+        within = F.abs(F.col("amount_diff")) <= F.lit(d) * F.abs(F.col("r_amount"))
+        mask = mask.bitwiseOR(F.when(within, bits).otherwise(F.lit(0).cast("long")))
+    return pairs.withColumn("mask", mask.bitwiseAND(by_day)).filter(F.col("mask") != 0)
 
-def _prioritized(pairs: DataFrame) -> DataFrame:
-    if "pair_rank" not in pairs.columns:
-        pairs = with_pair_rank(pairs)
-    return pairs.withColumn("prio", prio_expr())
 
+def _priority(base: DataFrame) -> tuple[DataFrame, Column]:
+    """``base`` with ``rest``, the order of pairs of equal score, and the priority from ``score`` and ``rest``.
 
-def best_candidate(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Best scored pair per record (hash aggregate of the packed order)."""
-    g = list(group)
-    x = _prioritized(pairs)
-    best = x.groupBy(*g, "rid").agg(F.min("prio").alias("prio"))
-    return x.join(best, g + ["rid", "prio"], "left_semi").select(*g, "rid", "tid")
+    Packed into a long with widths taken from the largest gaps, or into
+    a decimal where a long can't hold it: no gap is too large.
+    """
+    top = base.agg(F.max("_absd").alias("d"), F.max(F.abs("amount_diff")).alias("a")).first()
+    scale = base.schema["amount_diff"].dataType.scale
+    days, amounts = (top["d"] or 0) + 1, 4 * int((top["a"] or 0) * 10 ** scale) + 4
+    wide = (MAX_MATCH_SCORE + 1) * days * amounts >= 1 << 63
+    typ = "decimal(38,0)" if wide else "long"
+
+    def num(c):
+        return c.cast("decimal(38,0)") if wide else c.cast("long")
+
+    signs = F.when(F.col("day_diff") < 0, 2).otherwise(0) + F.when(F.col("amount_diff") < 0, 1).otherwise(0)
+    units = num(F.abs(F.col("amount_diff")) * F.lit(10 ** scale))
+    rest = (num(F.col("_absd")) * F.lit(amounts).cast(typ) + units * 4 + signs).cast(typ)
+    unit = F.lit(Decimal(days * amounts) if wide else days * amounts).cast(typ)
+    return base.withColumn("rest", rest), ((num(F.lit(MAX_MATCH_SCORE) - F.col("score")) * unit + F.col("rest")).cast(typ))
+
+
+def _expand(state: DataFrame, points: Sequence[GridPoint], prio: Column) -> DataFrame:
+    """One row per open (pair, point), with its score; narrow, so partitioning is kept."""
+    first = F.lit(0)  # points whose days are too few come first
+    for k in sorted({p.max_days for p in points}):
+        first = first + F.when(F.col("_absd") > k, sum(p.max_days == k for p in points)).otherwise(0)
+    x = state.withColumn("pos", F.explode(F.sequence(first, F.lit(len(points) - 1))))
+    x = x.filter(F.expr("(shiftright(mask, pos) & 1L) = 1L"))
 
+    def at(values, typ):
+        return F.element_at(_literals(values, typ), F.col("pos") + 1)
 
-def mutual_best(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Pairs that are the best for their record and for their transaction."""
-    g = list(group)
-    return _round(_prioritized(pairs).select(*g, "rid", "tid", "prio"), g).select(*g, "rid", "tid")
+    b = at([p.balance / MAX_BALANCE for p in points], "double")
+    nb = at([1.0 - p.balance / MAX_BALANCE for p in points], "double")
+    n1 = at([float(p.max_days + 1) for p in points], "double")
+    s = b * (F.lit(1.0) - F.col("_rel")) + nb * (F.lit(1.0) - F.col("_absd").cast("double") / n1)
+    x = x.withColumn("score", F.floor(F.round(F.lit(float(MAX_MATCH_SCORE)) * s, 6)).cast("int"))
+    return x.filter(F.col("score") > 0).withColumn("prio", prio)
 
 
-def assign_one_to_one(pairs: DataFrame, group: Sequence[str] = (),
-                      max_rounds: int = 10_000, gaps: DataFrame | None = None) -> Assignment:
-    """Greedy one-to-one matching (per ``group``) by the strict pair order.
+def _match_classes(base: DataFrame, points: Sequence[GridPoint], prio: Column, many: bool) -> tuple[DataFrame, int]:
+    """Greedy matching of class pairs at every point: ``pos, rid, tid, score, take, r_from, t_from``.
 
-    Rounds of mutual-best pairs equal the global greedy matching; every round
-    takes at least the best remaining pair, so the loop ends.  A round only
-    moves ``(group, rid, tid, prio)`` - four primitive columns - through two
-    hash aggregates and a join; the remaining pairs are checkpointed
-    (reliable) every round so lineage stays short and a lost executor only
-    recomputes one round.  Score and gaps are joined back for the result.
+    A round takes the pairs that are the best of both classes, as many rows as
+    the smaller of what is left of them; that equals the greedy matching, as no
+    pair of either class comes before.  Each side's best pairs are found where
+    its pairs lie together, so that only their number is shuffled, not the number
+    of (pair, point) rows; the state between rounds is one row per pair.  All
+    frames between rounds are tables in the shared folder.
     """
-    from pyspark import StorageLevel
-    g = list(group)
-    x = _prioritized(pairs)
-    # The first round reads the pairs three times: keep them cached (they
-    # can be rebuilt from the checkpointed pair ranks if an executor is lost).
-    first = x.select(*g, "rid", "tid", "prio").persist(StorageLevel.MEMORY_AND_DISK)
-    remaining = first
+    state = cut_lineage(_with_mask(base, points).select("rid", "tid", "r_n", "t_n", "_absd", "_rel", "rest", "mask"))
     taken: list[DataFrame] = []
-    rounds = 0
     while True:
-        if rounds >= max_rounds:
-            raise RuntimeError(f"one-to-one matching did not finish in {max_rounds} rounds")
-        m = _round(remaining, g).persist(StorageLevel.MEMORY_AND_DISK)
-        rounds += 1
+        by_r = (_expand(state.repartition("rid"), points, prio).groupBy("rid", "pos")
+                .agg(F.min_by("tid", "prio").alias("tid"), F.max("score").alias("score"), F.first("r_n").alias("r_n")))
+        by_t = (_expand(state.repartition("tid"), points, prio).groupBy("tid", "pos")
+                .agg(F.min_by("rid", "prio").alias("rid"), F.first("t_n").alias("t_n")))
+        m = by_r.join(by_t, ["rid", "tid", "pos"])
+        if many:
+            for side in ("r", "t"):
+                used = [x.filter(F.col(f"{side}_n") > 1).select(f"{side}id", "pos", "take") for x in taken]
+                m = _with_used(m, used, side)
+        else:
+            m = m.withColumn("r_from", F.lit(0).cast("long")).withColumn("t_from", F.lit(0).cast("long"))
+        m = cut_lineage(m.withColumn("take", F.least(F.col("r_n") - F.col("r_from"), F.col("t_n") - F.col("t_from"))))
         if m.isEmpty():
             break
         taken.append(m)
-        remaining = (remaining.join(m.select(*g, "rid"), g + ["rid"], "left_anti")
-                              .join(m.select(*g, "tid"), g + ["tid"], "left_anti"))
-        # Per-round frames are small after the first round: a reliable RDD
-        # checkpoint avoids a table commit per round.
-        remaining = cut_lineage(remaining, how="checkpoint")
-        if remaining.isEmpty():
-            break
-    out_cols = g + ["rid", "tid", "score"] + list(_CARRY)
-    if not taken:
-        first.unpersist(blocking=False)
-        return Assignment(x.select(*out_cols).limit(0), rounds)
-    chosen = taken[0]
-    for m in taken[1:]:
-        chosen = chosen.unionByName(m)
-    score = (F.lit(MAX_MATCH_SCORE) - F.shiftright(F.col("prio"), _DAY_BITS + _RANK_BITS)).cast("int")
-    chosen = chosen.select(*g, "rid", "tid", score.alias("score"))
-    if gaps is not None:
-        # One row per (rid, tid), e.g. the base pairs a grid was exploded from.
-        out = chosen.join(gaps.select("rid", "tid", *_CARRY), ["rid", "tid"], "inner")
-    else:
-        out = chosen.join(pairs.select(*g, "rid", "tid", *_CARRY), g + ["rid", "tid"], "inner")
-    out = cut_lineage(out.select(*out_cols), how="checkpoint")
-    first.unpersist(blocking=False)
-    for m in taken:
-        m.unpersist(blocking=False)
-    return Assignment(out, rounds)
+        gone = {}
+        for side in ("r", "t"):
+            gone[side] = (m.filter(F.col(f"{side}_from") + F.col("take") == F.col(f"{side}_n"))
+                          .groupBy(f"{side}id").agg(F.expr("bit_or(shiftleft(1L, pos))").alias(f"gone_{side}")))
+        none = F.lit(0).cast("long")
+        open_ = (state.join(gone["r"], "rid", "left").join(gone["t"], "tid", "left")
+                 .withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not(
+                     F.coalesce("gone_r", none).bitwiseOR(F.coalesce("gone_t", none)))))
+                 .filter(F.col("mask") != 0).drop("gone_r", "gone_t"))
+        before, state = state, cut_lineage(open_.select(*state.columns))
+        release(before)
+    release(state)
+    columns = ["pos", "rid", "tid", "score", "take", "r_from", "t_from"]
+    out = m.select(*columns)
+    for x in taken:
+        out = out.unionByName(x.select(*columns))
+    return out, len(taken) + 1
+
+
+def _with_used(m: DataFrame, used: list[DataFrame], side: str) -> DataFrame:
+    """``m`` with how many rows of the class earlier rounds took at the point."""
+    if not used:
+        return m.withColumn(f"{side}_from", F.lit(0).cast("long"))
+    whole = used[0]
+    for x in used[1:]:
+        whole = whole.unionByName(x)
+    sums = whole.groupBy(f"{side}id", "pos").agg(F.sum("take").alias(f"{side}_from"))
+    return (m.join(sums, [f"{side}id", "pos"], "left")
+             .withColumn(f"{side}_from", F.coalesce(f"{side}_from", F.lit(0).cast("long"))))
 
 
 # ---------------------------------------------------------------------------
@@ -393,16 +391,13 @@ class Reconciliation:
 
 def grid_reconcile(records: DataFrame, txns: DataFrame, grid: Sequence[GridPoint],
                    r: Side = LEDGER_SIDE, t: Side = LEDGER_SIDE,
-                   eligible: Column | None = None, batch_size: int | None = None,
-                   max_batch_rows: int = 400_000_000) -> Reconciliation:
+                   eligible: Column | None = None) -> Reconciliation:
     """Match records to transactions at every grid point; keep the point with
     the most matches (the first one in grid order on ties; none if no point
     matches anything).  Grid points are independent of each other.
 
     ``eligible`` restricts which records take part (the others stay unmatched).
-    ``batch_size`` bounds how many grid points share one matching job; by
-    default it is sized so one job handles about ``max_batch_rows``
-    (pair, point) rows, from an exact count of the admitted points per pair.
+    Grids of more than 63 points are matched in parts of 63, one mask each.
     """
     if not grid:
         raise ValueError("empty grid")
@@ -410,26 +405,35 @@ def grid_reconcile(records: DataFrame, txns: DataFrame, grid: Sequence[GridPoint
     spark = records.sparkSession
     n_max = max(p.max_days for p in grid)
     a_max = max(p.max_amount for p in grid)
-    _check_packing(n_max)
-    # Candidate pairs at the loosest tolerances, ranked once for all points.
-    base = cut_lineage(with_pair_rank(candidate_pairs(recs, txns, n_max, a_max, r, t)))
-    if batch_size is None:
-        batch_size = _batch_size(base, grid, max_batch_rows)
+    r_cls, t_cls = cut_lineage(_classes(recs, r)), cut_lineage(_classes(txns, t))
+    side = Side(key="cid", amount="amount", date="date", currency="currency", seq="cid")
+    # Candidate class pairs at the loosest tolerances, once for all points.
+    pairs = candidate_pairs(r_cls, t_cls, n_max, a_max, side, side)
+    many = not r_cls.filter("n > 1").isEmpty() or not t_cls.filter("n > 1").isEmpty()
+    if many:
+        pairs = (pairs.join(r_cls.select(F.col("cid").alias("rid"), F.col("n").alias("r_n")), "rid")
+                      .join(t_cls.select(F.col("cid").alias("tid"), F.col("n").alias("t_n")), "tid"))
+    else:
+        pairs = pairs.withColumn("r_n", F.lit(1).cast("long")).withColumn("t_n", F.lit(1).cast("long"))
+    big = F.greatest(F.abs(F.col("r_amount")), F.abs(F.col("t_amount")))
+    rel = F.when(big == 0, F.lit(0.0)).otherwise(F.abs(F.col("amount_diff")).cast("double") / big.cast("double"))
+    base = cut_lineage(pairs.select("rid", "tid", "r_n", "t_n", "r_amount", "amount_diff", "day_diff",
+                                    F.abs(F.col("day_diff")).cast("int").alias("_absd"), rel.alias("_rel")))
+    base, prio = _priority(base)
     per_point: dict[int, tuple[int, int | None]] = {}
     best_count, best_point, best_matches, rounds = 0, None, None, 0
-    for i in range(0, len(grid), batch_size):
-        batch = list(grid[i:i + batch_size])
-        scored = explode_grid(base, batch)
-        a = assign_one_to_one(scored, ["grid_id"], gaps=base)
-        rounds = max(rounds, a.rounds)
+    for i in range(0, len(grid), MASK_POINTS):
+        points = sorted(grid[i:i + MASK_POINTS], key=lambda p: (p.max_days, p.grid_id))
+        matched, n_rounds = _match_classes(base, points, prio, many)
+        rounds = max(rounds, n_rounds)
         # One row per grid point: bounded by the grid size.
-        for row in a.matches.groupBy("grid_id").agg(
-                F.count(F.lit(1)).alias("n"), F.min("score").alias("min_score")).collect():
-            per_point[row["grid_id"]] = (row["n"], row["min_score"])
-        for p in batch:
+        for row in matched.groupBy("pos").agg(F.sum("take").alias("n"), F.min("score").alias("min_score")).collect():
+            per_point[points[row["pos"]].grid_id] = (row["n"], row["min_score"])
+        for p in grid[i:i + MASK_POINTS]:
             n, _ = per_point.get(p.grid_id, (0, None))
             if n > best_count:
-                best_count, best_point, best_matches = n, p, a.matches
+                best_count, best_point = n, p
+                best_matches = matched.filter(F.col("pos") == points.index(p))
     chosen = best_point.grid_id if best_point is not None else -1
     rows = [(p.grid_id, p.max_days, p.max_amount, p.balance) + per_point.get(p.grid_id, (0, None))
             + (p.grid_id == chosen,) for p in grid]
@@ -441,27 +445,19 @@ def grid_reconcile(records: DataFrame, txns: DataFrame, grid: Sequence[GridPoint
         "grid_id", "max_days", "max_amount", "balance", "matched", "min_score",
         (n_rec - F.col("matched")).alias("unmatched"),
         (n_txn - F.col("matched")).alias("unclaimed"), "chosen")
-    if best_point is None:
+    r_rows, t_rows = _members(recs, r_cls, r, "rid"), _members(txns, t_cls, t, "tid")
+    if best_matches is None:
         empty = base.limit(0).select("rid", "tid", F.lit(0).alias("score"), "amount_diff", "day_diff")
         return Reconciliation(empty, report, None, rounds)
-    m = best_matches.filter(F.col("grid_id") == best_point.grid_id).drop("grid_id")
-    return Reconciliation(m, report, best_point, rounds)
-
-
-def _batch_size(base: DataFrame, grid: Sequence[GridPoint], max_rows: int) -> int:
-    """Grid points per job so that one job sees about ``max_rows`` rows."""
-    # Points whose day tolerance admits the pair (amount limits only lower
-    # this, so the count is an upper bound).
-    gap = F.abs(F.col("day_diff"))
-    admitted = F.lit(0)
-    for n_days in sorted({p.max_days for p in grid}):
-        same = sum(1 for p in grid if p.max_days == n_days)
-        admitted = admitted + F.when(gap <= n_days, F.lit(same)).otherwise(F.lit(0))
-    total = base.select(F.sum(admitted).alias("n")).first()["n"] or 0
-    if total <= max_rows:
-        return len(grid)
-    batches = -(-total // max_rows)
-    return max(1, -(-len(grid) // batches))
+    # k-th row to k-th row of every matched class pair.
+    at = (best_matches.join(base.select("rid", "tid", "amount_diff", "day_diff"), ["rid", "tid"])
+          .select(F.col("rid").alias("r_cid"), F.col("tid").alias("t_cid"), "score", "amount_diff", "day_diff",
+                  "r_from", "t_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("take") - 1)).alias("i")))
+    at = (at.withColumn("r_k", F.col("r_from") + F.col("i")).withColumn("t_k", F.col("t_from") + F.col("i"))
+          .join(r_rows.select(F.col("cid").alias("r_cid"), F.col("k").alias("r_k"), "rid"), ["r_cid", "r_k"])
+          .join(t_rows.select(F.col("cid").alias("t_cid"), F.col("k").alias("t_k"), "tid"), ["t_cid", "t_k"]))
+    matches = cut_lineage(at.select("rid", "tid", "score", "amount_diff", "day_diff"))
+    return Reconciliation(matches, report, best_point, rounds)
 
 
 def reconcile(records: DataFrame, txns: DataFrame, max_days: int, max_amount: int,

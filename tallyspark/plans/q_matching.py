@@ -56,9 +56,9 @@ def rounds_sql(src: str, group: list[str], rounds: int, prefix: str = "",
         parts.append(f"""{mm}{i} AS MATERIALIZED (
   SELECT {g}rid, tid, score FROM (
     SELECT *, row_number() OVER (PARTITION BY {g}rid ORDER BY score DESC, abs(day_diff),
-                                 abs(amount_diff), t_seq) AS _rr,
+                                 abs(amount_diff), day_diff < 0, amount_diff < 0, t_seq) AS _rr,
               row_number() OVER (PARTITION BY {g}tid ORDER BY score DESC, abs(day_diff),
-                                 abs(amount_diff), r_seq) AS _rt
+                                 abs(amount_diff), day_diff < 0, amount_diff < 0, r_seq) AS _rt
     FROM {q}{i - 1}) WHERE _rr = 1 AND _rt = 1)""")
         parts.append(f"""{q}{i} AS MATERIALIZED (
   SELECT * FROM {q}{i - 1} p
@@ -89,7 +89,7 @@ def match_scores(spark, sf_dir):
 @query("best_candidate", BASE + "," + pairs_sql(DAYS, AMOUNT) + "," + scored_sql() + """
 SELECT rid, tid FROM (
   SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, abs(day_diff),
-                               abs(amount_diff), t_seq) AS rn FROM scored) WHERE rn = 1""")
+                               abs(amount_diff), day_diff < 0, amount_diff < 0, t_seq) AS rn FROM scored) WHERE rn = 1""")
 def best_candidate(spark, sf_dir):
     return M.best_candidate(M.score_pairs(_pairs(spark, sf_dir), BALANCE, DAYS))
 

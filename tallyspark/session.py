@@ -7,8 +7,8 @@ invented when none is configured (local tests and the bench).
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         # Nothing configured: this is a local run (tests, bench).
         configured = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
     sc.setCheckpointDir(configured)
@@ -66,7 +68,9 @@ def cut_lineage(df: DataFrame, how: str = "table") -> DataFrame:
     if how == "table":
         path = scratch_path(spark, "lineage")
         df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+        out._lineage_path = path
+        return out
     if how != "checkpoint":
         raise ValueError(how)
     from pyspark import StorageLevel
@@ -76,17 +80,34 @@ def cut_lineage(df: DataFrame, how: str = "table") -> DataFrame:
     return out
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the tables behind frames of ``cut_lineage`` that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_lineage_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+            _tables.discard(path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every side table that this process wrote; call it when all results are consumed."""
+    for path in list(_tables):
+        _delete(spark, path)
+    _tables.clear()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written side tables."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", f"{name}-{os.getpid()}-{next(_counter)}")
-
-
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
+    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    _tables.add(path)
+    return path
 
 
-_counter = _count()
+_tables: set[str] = set()

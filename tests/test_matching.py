@@ -55,7 +55,7 @@ def test_candidate_pairs_equal_brute_force(spark, seed, days, amount):
 
 def greedy(pairs):
     order = sorted(pairs, key=lambda p: (-p["score"], abs(p["day_diff"]), abs(p["amount_diff"]),
-                                         p["r_seq"], p["t_seq"]))
+                                         p["day_diff"] < 0, p["amount_diff"] < 0, p["r_seq"], p["t_seq"]))
     used_r, used_t, out = set(), set(), set()
     for p in order:
         if p["rid"] not in used_r and p["tid"] not in used_t:
@@ -70,8 +70,8 @@ def test_one_to_one_equals_global_greedy(spark, seed, balance):
     recs, txns, rdf, tdf = frames(spark, seed, 150)
     pairs = M.score_pairs(M.candidate_pairs(rdf, tdf, 4, 100, R, T), balance, 4)
     rows = pairs.collect()
-    a = M.assign_one_to_one(pairs)
-    got = {(r["rid"], r["tid"]) for r in a.matches.collect()}
+    res = M.reconcile(rdf, tdf, 4, 100, balance, R, T)
+    got = {(r["rid"], r["tid"]) for r in res.matches.collect()}
     assert got == greedy(rows)
     # a matching: no record or transaction used twice
     assert len({x for x, _ in got}) == len(got) == len({y for _, y in got})
@@ -122,11 +122,62 @@ def test_unclaimed(spark):
     assert [r[0] for r in M.unclaimed(txns, m).collect()] == [1]
 
 
-def test_grid_batches_give_same_result(spark):
+def test_grid_parts_give_same_result(spark, monkeypatch):
     recs, txns, rdf, tdf = frames(spark, 11)
     grid = M.make_grid([1, 3], [50, 100], [500, 700])
     whole = M.grid_reconcile(rdf, tdf, grid, R, T)
-    parts = M.grid_reconcile(rdf, tdf, grid, R, T, max_batch_rows=50)
+    monkeypatch.setattr(M, "MASK_POINTS", 3)
+    parts = M.grid_reconcile(rdf, tdf, grid, R, T)
     assert whole.winner == parts.winner
     assert sorted(tuple(r) for r in whole.report.collect()) == sorted(tuple(r) for r in parts.report.collect())
     assert {tuple(r) for r in whole.matches.collect()} == {tuple(r) for r in parts.matches.collect()}
+
+
+def crowded(spark, seed):
+    """Few amounts and days, so that classes have many equal rows and compete for each other."""
+    rnd = random.Random(seed)
+    def rows(first, step):
+        return [(first + i, dt.date(2022, 1, 1) + dt.timedelta(days=rnd.randrange(5)),
+                 Decimal(rnd.choice(["100", "101", "99", "-100"])), rnd.choice(["USD", None]), i * step) for i in range(140)]
+    return [spark.createDataFrame(rows(a, b), f"{k} long, date date, amount decimal(18,2), currency string, _seq long")
+            for k, a, b in (("rid", 0, 3), ("tid", 1000, 5))]
+
+
+@pytest.mark.parametrize("seed,balance,days", [(21, 500, 3), (22, 0, 1), (23, 1000, 2)])
+def test_equal_rows_equal_global_greedy(spark, seed, balance, days):
+    rdf, tdf = crowded(spark, seed)
+    rows = M.score_pairs(M.candidate_pairs(rdf, tdf, days, 100, R, T), balance, days).collect()
+    res = M.reconcile(rdf, tdf, days, 100, balance, R, T)
+    assert {(r["rid"], r["tid"]) for r in res.matches.collect()} == greedy(rows)
+
+
+def test_rounds_do_not_grow_with_equal_rows(spark):
+    day = dt.date(2022, 1, 1)
+    def side(key, n, shift):
+        return spark.range(n).select(F.col("id").alias(key), F.lit(day + dt.timedelta(days=shift)).alias("date"),
+                                     F.lit(Decimal("9.99")).alias("amount"), F.lit("USD").alias("currency"), F.col("id").alias("_seq"))
+    for shift in (0, 2):
+        res = M.reconcile(side("rid", 5000, 0), side("tid", 6000, shift), 3, 0, 500, R, T)
+        assert res.rounds <= 3
+        assert res.matches.where("rid = tid").count() == res.matches.count() == 5000
+
+
+def test_gaps_too_large_for_a_long(spark):
+    wide = "decimal(18,4)"
+    def side(key, rows):
+        return spark.createDataFrame([(i, dt.date(y, 1, 1), Decimal(a), "USD", i) for i, (y, a) in enumerate(rows)],
+                                     f"{key} long, date date, amount {wide}, currency string, _seq long")
+    rdf, tdf = side("rid", [(1, "90000000000000"), (9999, "50000000000000.0001")]), side("tid", [(9000, "50000000000000"), (1, "1")])
+    rows = M.score_pairs(M.candidate_pairs(rdf, tdf, 4_000_000, 1000, R, T), 500, 4_000_000).collect()
+    res = M.reconcile(rdf, tdf, 4_000_000, 1000, 500, R, T)
+    assert {(r["rid"], r["tid"]) for r in res.matches.collect()} == greedy(rows) and len(rows) == 4
+
+
+def test_side_tables_are_released(spark):
+    import glob
+    from urllib.parse import urlparse
+    from tallyspark.session import release_all
+    rdf, tdf = crowded(spark, 3)
+    M.reconcile(rdf, tdf, 1, 100, 500, R, T).matches.count()
+    release_all(spark)
+    assert glob.glob(urlparse(spark.sparkContext.getCheckpointDir()).path + "/tables/lineage-*") == []
