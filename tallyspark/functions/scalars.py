@@ -96,10 +96,12 @@ def money_sign_symbol_number(text) -> tuple[Column, Column, Column]:
 
 
 def parse_money(text, scale_type: T.DecimalType = AMOUNT_TYPE) -> Column:
-    """Money text to decimal; null when the text is not money (reject)."""
+    """Money text to decimal; null (reject) when the text is not money or has more digits than the type."""
     t = _c(text)
     neg, _, number = money_sign_symbol_number(t)
-    value = F.when(t.rlike(MONEY_PATTERN), number.try_cast(scale_type))
+    number = F.when(t.rlike(MONEY_PATTERN), number)
+    digits = F.length(F.regexp_extract(number, r"\.([0-9]*?)0*$", 1))
+    value = F.when(digits <= scale_type.scale, number.try_cast(scale_type))
     return F.when(neg, -value).otherwise(value)
 
 
@@ -156,10 +158,6 @@ def month_day_in_period(month: Column, day: Column, begin: Column, end: Column)
     return F.struct(chosen.alias("date"), out.alias("out_of_period"))
 
 
-def valid_period(begin: Column, end: Column) -> Column:
-    """End after begin and the years equal or adjacent."""
-    return (end > begin) & ((F.year(end) - F.year(begin)).between(0, 1))
-
 
 def tags_from_text(text) -> Column:
     t = F.trim(_c(text))
@@ -184,9 +182,6 @@ def check_tag_literal(tag: str) -> str:
     return tag
 
 
-def split_ws(text, limit: int = -1) -> Column:
-    return F.split(F.trim(_c(text)), r"\s+", limit)
-
 
 def fold_ws(text) -> Column:
     return F.regexp_replace(F.trim(_c(text)), r"\s+", " ")
@@ -265,12 +260,3 @@ def global_id(system_id="system_id", id_="id") -> Column:
 def title_with_quantity(title, quantity) -> Column:
     q = _c(quantity)
     return F.when(q > 1, F.format_string("%s (%d)", _c(title), q.cast("int"))).otherwise(_c(title))
-
-
-def with_prefix(prefix: str, text) -> Column:
-    return F.concat(F.lit(prefix), _c(text))
-
-
-def day_number(date) -> Column:
-    """Days since 1970-01-01 (for date buckets)."""
-    return F.unix_date(_c(date).cast("date"))

@@ -15,7 +15,7 @@ the first later unpaired record of the opposite sign.
 * With a period limit ``max_days`` a cluster splits into segments wherever
   consecutive dates are ``max_days`` or more apart (no pair can cross such a
   gap; segments are computed on the per-day table).  Each segment is paired
-  by a FIFO scan in ``applyInPandas`` that only ships (seq, day, sign).
+  by a FIFO scan in ``mapInPandas`` that only ships (seq, day, sign).
 """
 
 from __future__ import annotations
@@ -31,10 +31,6 @@ from tallyspark.operators.sequence import prefix_sum_min, rank_in_group
 OUTPUTS = ("pairs", "unpaired", "all")
 
 
-def _block(date: str, seq: str):
-    return F.struct(F.col(date), F.shiftright(F.col(seq), 20))
-
-
 def pair_offsets(df: DataFrame, output: str = "pairs", refund: bool = False,
                  max_days: int | None = None, keys: Sequence[str] = ("source_id",),
                  date: str = "transaction_date", amount: str = "amount",
@@ -47,8 +43,9 @@ def pair_offsets(df: DataFrame, output: str = "pairs", refund: bool = False,
     """
     if output not in OUTPUTS:
         raise ValueError(f"output must be one of {OUTPUTS}")
-    cl = list(keys) + ["_abs"]
-    x = df.withColumn("_abs", F.abs(F.col(amount))).withColumn("_neg", F.col(amount) < 0)
+    cl = ["_keys", "_abs"]  # a struct of keys is never null, so that null keys are equal
+    x = (df.withColumn("_keys", F.struct(*keys)).withColumn("_abs", F.abs(F.col(amount)))
+           .withColumn("_neg", F.col(amount) < 0))
     if max_days is not None:
         ids = _pair_ids_limited(x, cl, int(max_days), refund, date, seq)
     else:
@@ -70,11 +67,10 @@ def _pair_ids_unlimited(x: DataFrame, cl: list[str], refund: bool, date: str, se
     if refund:
         step = F.when(F.col("_neg"), F.lit(-1)).otherwise(F.lit(1)).cast("long")
         live = live.withColumn("_step", step)
-        block = F.struct(F.col(date), F.col("_neg"), F.shiftright(F.col(seq), 20))
-        scanned = prefix_sum_min(live, cl, [date, "_neg", seq], "_step", block)
+        scanned = prefix_sum_min(live, cl, [date, "_neg", seq], "_step")
         live = scanned.filter(~(F.col("_neg") & (F.col("_psum") < F.col("_pmin")))).select(
             *cl, "_neg", date, seq)
-    ranked = rank_in_group(live, cl + ["_neg"], [date, seq], _block(date, seq), name="_k")
+    ranked = rank_in_group(live, cl + ["_neg"], [date, seq], name="_k")
     pos = ranked.filter(~F.col("_neg")).select(*cl, "_k", F.col(seq).alias("_sp"))
     neg = ranked.filter(F.col("_neg")).select(*cl, "_k", F.col(seq).alias("_sn"))
     pairs = pos.join(neg, cl + ["_k"], "inner").select(

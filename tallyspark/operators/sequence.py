@@ -3,10 +3,10 @@
 ``with_sequence`` numbers rows in a total order with a range-partitioned sort
 (no single-task window).  ``prev_in_group`` and ``rank_in_group`` are the lag
 and row number of a window ``partitionBy(group).orderBy(order)``, computed in
-two levels so that a hot group is spread over many tasks: the exact window runs
-inside *blocks* (group + a coarse, order-consistent block key), and the block
-boundaries are fixed from a per-block summary whose size is the number of
-blocks, not the number of rows.
+two levels so that a hot group is spread over many tasks: rows are range-partitioned
+by (group, order), the exact window runs inside a *block* (a group's part of one
+partition), and block boundaries are fixed from a summary with one row per
+partition and group in it.  Null group values count as equal.
 """
 
 from __future__ import annotations
@@ -40,33 +40,36 @@ def with_sequence(df: DataFrame, order: Sequence[str | Column], name: str = "_se
         name, F.monotonically_increasing_id()))
 
 
-def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str],
-                  block: Column, name: str = "_rank") -> DataFrame:
-    """``row_number()`` over ``partitionBy(group).orderBy(order)``.
+def _in_blocks(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` with ``_g``, the group as one never-null value, and ``_blk``, the row's range partition.
 
-    ``block`` must be non-decreasing along ``order`` inside a group (for
-    example the first order column, or a shifted sequence number).
+    Materialised, as the partitions must stay the same for every later use.
     """
-    b = "_blk"
-    x = df.withColumn(b, block)
-    keys = list(group) + [b]
+    from tallyspark.session import cut_lineage
+    x = df.withColumn("_g", F.struct(*group))
+    return cut_lineage(x.repartitionByRange("_g", *order).withColumn("_blk", F.spark_partition_id()))
+
+
+def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "_rank") -> DataFrame:
+    """``row_number()`` over ``partitionBy(group).orderBy(order)``."""
+    b, keys = "_blk", ["_g", "_blk"]
+    x = _in_blocks(df, group, order)
     inner = Window.partitionBy(*keys).orderBy(*order)
     x = x.withColumn("_r_in_blk", F.row_number().over(inner))
     sizes = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_blk_n"))
     # One row per block: exclusive prefix sum of block sizes inside the group.
-    before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_g").orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_blk_off", F.coalesce(F.sum("_blk_n").over(before), F.lit(0))).drop("_blk_n")
     return (x.join(offsets, keys, "inner")
              .withColumn(name, (F.col("_blk_off") + F.col("_r_in_blk")).cast("long"))
-             .drop("_blk", "_blk_off", "_r_in_blk"))
+             .drop("_g", "_blk", "_blk_off", "_r_in_blk"))
 
 
 def prev_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str],
-                  values: Sequence[str], block: Column, prefix: str = "prev_") -> DataFrame:
+                  values: Sequence[str], prefix: str = "prev_") -> DataFrame:
     """``lag(v)`` over ``partitionBy(group).orderBy(order)`` for each value column."""
-    b = "_blk"
-    x = df.withColumn(b, block)
-    keys = list(group) + [b]
+    b, keys = "_blk", ["_g", "_blk"]
+    x = _in_blocks(df, group, order)
     inner = Window.partitionBy(*keys).orderBy(*order)
     for v in values:
         x = x.withColumn(prefix + v, F.lag(v).over(inner))
@@ -74,32 +77,31 @@ def prev_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str],
     # Last row of every block, then the previous block's last row in the group.
     order_struct = F.struct(*order)
     last = x.groupBy(*keys).agg(F.max_by(F.struct(*values), order_struct).alias("_last"))
-    w = Window.partitionBy(*group).orderBy(b)
+    w = Window.partitionBy("_g").orderBy(b)
     carry = last.select(*keys, F.lag("_last").over(w).alias("_carry"))
     x = x.join(carry, keys, "inner")
     for v in values:
         x = x.withColumn(prefix + v, F.when(F.col("_first_in_blk"), F.col("_carry")[v])
                          .otherwise(F.col(prefix + v)))
-    return x.drop("_blk", "_first_in_blk", "_carry")
+    return x.drop("_g", "_blk", "_first_in_blk", "_carry")
 
 
 def prefix_sum_min(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str,
-                   block: Column, total: str = "_psum", min_before: str = "_pmin") -> DataFrame:
+                   total: str = "_psum", min_before: str = "_pmin") -> DataFrame:
     """Running sum of ``value`` (inclusive) and the minimum of the running sum
     over the strictly earlier rows, floored at 0 (the empty prefix).
 
     Two levels like ``rank_in_group``: exact windows inside blocks, and a
     per-block carry (sum and minimum) from a summary with one row per block.
     """
-    b = "_blk"
-    x = df.withColumn(b, block)
-    keys = list(group) + [b]
+    b, keys = "_blk", ["_g", "_blk"]
+    x = _in_blocks(df, group, order)
     upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("_ls", F.sum(value).over(upto))
     x = x.withColumn("_lmin", F.min("_ls").over(before))
     summ = x.groupBy(*keys).agg(F.sum(value).alias("_bt"), F.min("_ls").alias("_bmin"))
-    prev_blocks = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    prev_blocks = Window.partitionBy("_g").orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.withColumn("_c", F.coalesce(F.sum("_bt").over(prev_blocks), F.lit(0)))
     summ = summ.withColumn("_x", F.col("_c") + F.col("_bmin"))
     summ = summ.withColumn("_m", F.min("_x").over(prev_blocks)).select(*keys, "_c", "_m")
@@ -108,7 +110,7 @@ def prefix_sum_min(df: DataFrame, group: Sequence[str], order: Sequence[str], va
     cand = F.least(F.lit(0), F.coalesce(F.col("_m"), F.lit(0)),
                    F.coalesce(F.col("_c") + F.col("_lmin"), F.lit(0)))
     x = x.withColumn(min_before, cand.cast("long"))
-    return x.drop(b, "_ls", "_lmin", "_c", "_m")
+    return x.drop("_g", b, "_ls", "_lmin", "_c", "_m")
 
 
 def dense_rank_by(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
