@@ -236,10 +236,10 @@ MASK_POINTS = 63
 
 
 def _classes(rows: DataFrame, side: Side) -> DataFrame:
-    """One row per (currency, amount, date) of a side, named by its smallest sequence number."""
+    """One row per (currency, amount, date) of a side, named by its smallest key."""
     return (rows.select(F.col(side.currency).alias("currency"), F.col(side.amount).alias("amount"),
-                        F.col(side.date).cast("date").alias("date"), F.col(side.seq).alias("seq"))
-            .groupBy("currency", "amount", "date").agg(F.min("seq").alias("cid"), F.count(F.lit(1)).alias("n")))
+                        F.col(side.date).cast("date").alias("date"), F.col(side.key).alias("key"))
+            .groupBy("currency", "amount", "date").agg(F.min("key").alias("cid"), F.count(F.lit(1)).alias("n")))
 
 
 def _members(rows: DataFrame, classes: DataFrame, side: Side, key: str) -> DataFrame:
@@ -248,12 +248,12 @@ def _members(rows: DataFrame, classes: DataFrame, side: Side, key: str) -> DataF
                       F.col(side.amount).alias("amount"), F.col(side.date).cast("date").alias("date"),
                       F.col(side.seq).alias("seq"))
     many = classes.filter(F.col("n") > 1)
-    single = own.join(classes.filter(F.col("n") == 1).select(F.col("cid").alias("seq")), "seq", "left_semi")
-    out = single.select(F.col("seq").alias("cid"), F.lit(0).cast("long").alias("k"), key)
+    single = own.join(classes.filter(F.col("n") == 1).select(F.col("cid").alias(key)), key, "left_semi")
+    out = single.select(F.col(key).alias("cid"), F.lit(0).cast("long").alias("k"), key)
     if many.isEmpty():
         return out
     same = [own[c].eqNullSafe(many[c]) for c in ("currency", "amount", "date")]
-    placed = dense_rank_by(own.join(many, same).select("cid", "seq", key), ["cid", "seq"], "place")
+    placed = dense_rank_by(own.join(many, same).select("cid", "seq", key), ["cid", "seq", key], "place")
     first = placed.groupBy("cid").agg(F.min("place").alias("first"))
     return out.unionByName(placed.join(first, "cid").select("cid", (F.col("place") - F.col("first")).alias("k"), key))
 
