@@ -8,3 +8,4 @@ from tallyspark.plans import q_scalars  # noqa: F401,E402
 from tallyspark.plans import q_sources  # noqa: F401,E402
 from tallyspark.plans import q_statements  # noqa: F401,E402
 from tallyspark.plans import q_marketplace  # noqa: F401,E402
+from tallyspark.plans import q_passes  # noqa: F401,E402
