@@ -168,21 +168,30 @@ def _settle(source: DataFrame, classes: DataFrame, open_ids: DataFrame, links: D
     entries = sets.select("id", F.size("shingles").cast("long").alias("n"), F.size("shingles").alias("size"),
                           F.explode("shingles").alias("value"))
     longest = F.col("size") - F.ceil(F.col("size") * PERCENT / 100.0) + 1
-    lists = _roots(_rarest_first(entries, _counts(entries), longest), links)
-    lists = written(lists.select("id", "n", "value", "place", "root"), "lists")
-    # In each list, the members outside its largest component meet all of other components.
+    lists = written(_rarest_first(entries, _counts(entries), longest), "lists")
+    found = links.limit(0)
+    for every in (False, True):
+        mixed = written(_mixed(_roots(lists, links.unionByName(found))), "mixed")
+        x, y = (mixed.select(*[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "place", "root")], "value", "central", "largest")
+                for side in "xy")
+        if every:  # the members outside a list's largest component meet all of other components
+            x = x.where("x_root <> largest")
+        else:  # the most central member of each list meets all of other components
+            x = x.groupBy("value").agg(F.max(F.struct("central", "x_id", "x_n", "x_place", "x_root")).alias("x")).select("value", "x.*")
+        needed = _needed(F.col("x_n"), F.col("y_n"))
+        pairs = x.join(y.drop("central"), "value").where(
+            (F.col("x_root") != F.col("y_root")) & _alike_sizes(F.col("x_n"), F.col("y_n"))
+            & (F.col("x_place") <= F.col("x_n") - needed) & (F.col("y_place") <= F.col("y_n") - needed))
+        pairs = pairs.select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
+        found = written(found.unionByName(_confirmed(written(_likely(pairs, classes), "pairs"), sets)), "links")
+    return found
+
+
+def _mixed(lists: DataFrame) -> DataFrame:
+    """The lists that hold several components, with the root of the ``largest`` of each."""
     sizes = lists.groupBy("value", "root").agg(F.count("*").alias("many"))
     largest = sizes.groupBy("value").agg(F.max(F.struct("many", "root")).alias("l"), F.count("*").alias("roots"))
-    mixed = lists.join(largest.where("roots > 1").select("value", F.col("l.root").alias("largest")), "value")
-    mixed = written(mixed, "mixed")
-    x = mixed.where("root <> largest").select(*[F.col(c).alias(f"x_{c}") for c in ("id", "n", "place", "root")], "value")
-    y = mixed.select(*[F.col(c).alias(f"y_{c}") for c in ("id", "n", "place", "root")], F.col("value").alias("y_value"))
-    needed = _needed(F.col("x_n"), F.col("y_n"))
-    pairs = x.join(y, (F.col("value") == F.col("y_value")) & (F.col("x_root") != F.col("y_root"))
-                   & _alike_sizes(F.col("x_n"), F.col("y_n"))
-                   & (F.col("x_place") <= F.col("x_n") - needed) & (F.col("y_place") <= F.col("y_n") - needed))
-    pairs = pairs.select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
-    return written(_confirmed(written(_likely(pairs, classes), "pairs"), sets), "links")
+    return lists.join(largest.where("roots > 1").select("value", F.col("l.root").alias("largest")), "value")
 
 
 def with_kept(linked: DataFrame, key: str = "doc_id") -> DataFrame:
