@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 from tallyspark.session import ensure_checkpoint_dir
 
 #: Text bytes that one step of a Python worker handles at once (a single longer text is one step).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Rows of an Arrow batch at most; it is held by the JVM and by the worker, beside the chunk.
+BATCH_ROWS = 1024
 
 TextStep = Callable[[pa.Array], Sequence[pa.Array]]
 
@@ -58,6 +60,13 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: int,
             start = stop
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_ROWS``, as rows here are whole documents."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_texts(df: DataFrame, text: str, step: Callable[[], TextStep], fields: Sequence[T.StructField],
               keep: Sequence[str], where: str | None = None) -> DataFrame:
     """Run ``step()`` over bounded chunks of a text column, in Arrow batches.
@@ -68,6 +77,7 @@ def map_texts(df: DataFrame, text: str, step: Callable[[], TextStep], fields: Se
     name of a field gives way to it.  ``where`` names a boolean field: only rows
     where it is true are returned, and the field itself is left out.
     """
+    bound_batches(df.sparkSession)
     names = [f.name for f in fields]
     keep = [c for c in keep if c not in names]
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
@@ -85,6 +95,7 @@ def map_texts(df: DataFrame, text: str, step: Callable[[], TextStep], fields: Se
             if where is not None:
                 out = out.filter(made[names.index(where)])
             yield out
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, T.StructType([*kept_fields, *out_fields]))
 
