@@ -42,7 +42,9 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     def apply(texts: pa.Array) -> list[pa.Array]:
         values, bounds = shingle_sets(texts)
         digests = [xxhash.xxh3_128_digest(values[bounds[i]:bounds[i + 1]].tobytes()) for i in range(len(texts))]
-        return [pa.array(np.diff(bounds).astype(np.int64)), pa.array(digests, pa.binary()), bottom(values, bounds, SKETCH)]
+        # Halved hashes are the same order signed, as Spark sorts, and unsigned, as they were sorted here.
+        return [pa.array(np.diff(bounds).astype(np.int64)), pa.array(digests, pa.binary()),
+                bottom(values >> np.uint64(1), bounds, SKETCH)]
 
     return map_texts(docs, text, lambda: apply, fields, [key])
 

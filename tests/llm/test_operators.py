@@ -249,6 +249,20 @@ def test_near_duplicates_by_brute_force(spark):
     assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (want[r.doc_id] == r.doc_id) for r in got)
 
 
+def test_near_duplicates_of_contained_sets(spark):
+    """Truncated copies just over the threshold, of sizes whose sketches reach past the middle of the hashes."""
+    draw = random.Random(11)
+    rows = []
+    for i in range(1200):
+        longer = draw.randrange(88, 161)
+        shorter = draw.randrange(-(-75 * longer // 100), 78 * longer // 100 + 1)
+        words = [f"p{i}w{j}" for j in range(longer + 4)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:shorter + 4]))]
+    got = {r.doc_id: r.component_id for r in minhash.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [d for d, c in got.items() if c != d // 2 * 2]
+    assert len(got) == len(rows) and not lost, f"{len(lost)} of 1200 links lost"
+
+
 def test_near_duplicates_odd_rows(spark, hard):
     got = minhash.with_kept(minhash.link(hard)).collect()
     assert len(got) == hard.count()
