@@ -111,8 +111,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on every page's url; pages whose title is junk (runs of symbols) are the labelled bad ones."""
-    title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
-    bad = F.when(title != "", title.rlike(r"[%*$#]{3}|(&amp;){3}"))
-    judged = url_filters.judge_urls(table(spark, sf_dir, "pages"), url_filters.RULES, bad)
+    """Verdict on every page's url; seed words of hosts confirm bad pages, those of paths label them.
+
+    All other pages have no label; they count as not bad, so that purities are lower bounds.
+    """
+    host = url_filters.seeded(F.col("host"))
+    bad = F.when(F.col("host") != "", host | url_filters.seeded(F.lower("path")))
+    judged = url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_filters.RULES, bad,
+                                    confirmed=host)
     return judged.select("page_id", "host", "path", "rule", "verdict", "template")

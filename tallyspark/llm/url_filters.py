@@ -1,4 +1,4 @@
-"""URL filters: host and path rules first, then a tree of path templates per host.
+"""URL filters: host and path rules first, then a tree of path templates per site.
 
 The tree is learnt in a few aggregates.  Segments with digits are generalised,
 and so are the rare children of a node that has too many of them.  Branches of
@@ -27,6 +27,11 @@ SIMILAR_SIGMAS = 2.5
 #: Weight of the overall part of bad pages, least labelled pages, and purity from which a template is rejected.
 SMOOTHING, LEAST_LABELLED, REJECT_AT = 10.0, 20, 0.5
 
+#: Leading labels of a host that serve the same site; its pages are pooled.
+SERVICES = (r"www[0-9]*", "m", "mobile", "amp", "blog")
+#: Words of a host that confirm its pages as bad, and of a path that label its pages as bad.
+SEED_WORDS = ("casino", "poker", "bets", "betting", "spam", "pills", "viagra", "porn", "xxx", "adult-x", "ads-track")
+
 DIGITS, ANY, MERGED = "{n}", "{*}", "{~}"
 
 
@@ -62,6 +67,16 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def site_of(host: Column) -> Column:
+    """The host without leading labels like www and m, as long as two labels remain."""
+    return F.regexp_replace(host, r"^(?:(?:" + "|".join(SERVICES) + r")\.)+(?=[^.]+\.)", "")
+
+
+def seeded(host: Column, words: Sequence[str] = ()) -> Column:
+    """Whether one of ``words`` (SEED_WORDS by default) stands between dots, hyphens, slashes or the ends of ``host``."""
+    return host.rlike(r"(?:^|[./_-])(?:" + "|".join(words or SEED_WORDS) + r")(?:[./_-]|$)")
+
+
 def _segments() -> Column:
     """The segments of a path, digits generalised; what lies beyond the last level is joined to it."""
     parts = F.split(F.regexp_replace("path", r"[0-9]+", DIGITS.replace("{", r"\{")), "/")
@@ -133,23 +148,28 @@ def learn_templates(pages: DataFrame) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], bad: Column, key: str = "page_id",
-               url: str = "url") -> DataFrame:
+               url: str = "url", confirmed: Column | None = None) -> DataFrame:
     """``key, host, path, rule, template, verdict`` of every row of ``pages``.
 
-    ``bad`` labels rows of ``pages`` for learning (null: no label).  The longest
-    fitting rule decides; else a rejected template blocks, and anything else is
-    allowed.  A null url, or one without ``://``, has an empty host and path,
+    ``bad`` labels rows of ``pages`` for learning (null: no label); ``confirmed``
+    tells rows that are bad without doubt.  Both may use ``host`` and ``path`` of
+    the url.  Templates are learnt per site (``site_of``).  The longest fitting
+    rule decides; else a rejected template or a confirmed row blocks, and
+    anything else is allowed.  A null url, or one without ``://``, has an empty host and path,
     which no rule fits.  Repeated rows are judged each; an empty table stays empty.
     """
     host, path = split_url(F.col(f"`{url}`").cast("string"))
-    parsed = pages.select(F.col(f"`{key}`"), host.alias("host"), path.alias("path"), bad.alias("bad"))
-    templates = learn_templates(parsed)
+    parsed = pages.withColumns({"host": host, "path": path}).select(
+        F.col(f"`{key}`"), "host", "path", site_of(F.col("host")).alias("site"), bad.alias("bad"),
+        F.coalesce(F.lit(False) if confirmed is None else confirmed, F.lit(False)).alias("confirmed"))
+    templates = (learn_templates(parsed.select(F.col("site").alias("host"), "path", "bad"))
+                 .withColumnRenamed("host", "site"))
     rule = F.lit(None).cast("string")
-    verdict = F.when(F.col("reject"), "block").otherwise("allow")
+    verdict = F.when(F.col("reject") | F.col("confirmed"), "block").otherwise("allow")
     for r in sorted(rules, key=lambda r: (len(r.text), len(r.host))):
         rule = F.when(r.fits(), F.lit(r.text)).otherwise(rule)
         verdict = F.when(r.fits(), F.lit(r.verdict)).otherwise(verdict)
-    return (parsed.withColumn("segments", _segments()).join(templates, ["host", "segments"], "left")
+    return (parsed.withColumn("segments", _segments()).join(templates, ["site", "segments"], "left")
             .select(F.col(f"`{key}`"), "host", "path", rule.alias("rule"), "template", verdict.alias("verdict")))
 
 

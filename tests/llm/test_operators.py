@@ -336,6 +336,17 @@ def test_url_rules_and_templates(spark):
     assert url_filters.judge_urls(df.limit(0), url_filters.RULES, bad).count() == 0
 
 
+def test_subdomains_of_a_site_are_pooled(spark):
+    """Twelve bad pages on each of two hosts of a site are enough; a confirmed page needs no others."""
+    urls = [f"http://{sub}.shop.net/offer/{i}" for sub in ("m", "www") for i in range(12)]
+    urls += [f"http://www.paper.net/news/{i}" for i in range(100)] + ["http://m.poker.net/x", "http://blog.net/y", "http://www.blog.net/y"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filters.judge_urls(df, (), F.col("path").startswith("/offer/"),
+                                 confirmed=url_filters.seeded(F.col("host"))).collect()
+    assert len(got) == len(urls)
+    assert all((r.verdict == "block") == ("/offer/" in urls[r.page_id] or "poker" in urls[r.page_id]) for r in got)
+
+
 def water_fill(budget, caps, weights):
     """Exact shares by bisection over the level, as fractions."""
     if budget >= sum(caps):

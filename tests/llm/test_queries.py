@@ -39,6 +39,16 @@ def test_digests_of_documents(spark):
         assert r.base_failed == (counts[0] < 50 or 100 * counts[4] > 50 * counts[0]) and not (r.base_failed and r.kept)
 
 
+def test_planted_spam_hosts_are_blocked(spark):
+    got = entry.queries()["op10_url_filters"](spark, "/root/testdata/sf0.1").collect()
+    assert len(got) == spark.read.parquet("/root/testdata/sf0.1/pages.parquet").count()
+    planted = re.compile(r"(^|\.)(casino-win|free-bets|ads-track|spam-farm|cheap-pills|adult-x)\.")
+    by_rest = [r for r in got if r.rule is None]
+    print("pages, without a rule, blocked of these:", len(got), len(by_rest), sum(r.verdict == "block" for r in by_rest))
+    assert {planted.search(r.host).group(2) for r in by_rest if planted.search(r.host)} >= {"casino-win", "free-bets"}
+    assert all((r.verdict == "block") == bool(planted.search(r.host)) for r in by_rest)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, before = docs.columns, {r.doc_id for r in docs.collect()}
