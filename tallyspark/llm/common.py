@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.session import ensure_checkpoint_dir
+from tallyspark.session import scratch_path
 
 #: Text bytes that one step of a Python worker handles at once (a single longer text is one step).
 CHUNK_BYTES = 2 << 20
@@ -27,11 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written once to the shared checkpoint folder: it outlives lost executors."""
+    """``df`` as a table written once to the shared checkpoint folder: it outlives lost executors.
+
+    ``session.release`` deletes it, ``session.release_all`` all of them.
+    """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lineage_path = path
+    return out
 
 
 def held_out(doc_id: Column) -> Column:

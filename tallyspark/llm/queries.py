@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, langid, minhash, mixing, mtree, quality, toxicity, url_filters
+from tallyspark.llm import chat, langid, merkle, minhash, mixing, mtree, prefix_trie, quality, toxicity, url_filters
 from tallyspark.llm.common import held_out, learnable, table, written
 from tallyspark.llm.sentencepiece_bpe import encode_documents
 from tallyspark.llm.token_counts import count_tokens
@@ -120,3 +120,16 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_filters.RULES, bad,
                                     confirmed=host)
     return judged.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+@query(prefix_trie.ORACLE)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of the rebuilt conversations' beginnings."""
+    turns = written(prefix_trie.coded_turns(table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie.trie(prefix_trie.with_shared_heads(turns))
+
+
+@query(merkle.ORACLE)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and root of every document, and whether its tampered copy still folds to the root."""
+    return merkle.documents_manifest(table(spark, sf_dir, "documents"))
