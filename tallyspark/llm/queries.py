@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, langid, merkle, minhash, mixing, mtree, prefix_trie, quality, toxicity, url_filters
+from tallyspark.llm import chat, langid, merkle, minhash, mixing, mtree, prefix_trie, quality, repeats, toxicity, url_filters
 from tallyspark.llm.common import held_out, learnable, table, written
 from tallyspark.llm.sentencepiece_bpe import encode_documents
 from tallyspark.llm.token_counts import count_tokens
@@ -122,6 +122,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+@query(repeats.ORACLE)
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that a document with a smaller id also has."""
+    return repeats.repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query(prefix_trie.ORACLE)
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of the rebuilt conversations' beginnings."""
