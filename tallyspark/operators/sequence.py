@@ -134,3 +134,20 @@ def dense_rank_by(df: DataFrame, order: Sequence[str | Column], name: str) -> Da
     return (s.join(F.broadcast(offsets), "_pid")
              .withColumn(name, (F.col("_off") + pos).cast("long"))
              .drop("_pid", "_mid", "_off"))
+
+
+def running_total(df: DataFrame, order: Sequence[str | Column], value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over all rows strictly before a row in a total order (0 for the first).
+
+    Range-partitioned like ``dense_rank_by``: exact sums inside the partitions,
+    carried on from a summary with one row per partition.
+    """
+    from tallyspark.session import cut_lineage
+    order_cols = _cols(order)
+    s = cut_lineage(df.repartitionByRange(*order_cols).withColumn("_pid", F.spark_partition_id()))
+    totals = s.groupBy("_pid").agg(F.sum(value).alias("_n"))
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_pid", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    return (s.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(F.broadcast(carried), "_pid")
+             .withColumn(name, F.col("_off") + F.col("_in")).drop("_pid", "_off", "_in"))

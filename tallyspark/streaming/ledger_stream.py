@@ -3,7 +3,7 @@
 The reference only processes finite inputs; this module runs the same
 stateless rule passes incrementally: ``readStream`` over a folder of ledger
 CSV files, the pipeline applied to each micro-batch, kept and discarded rows
-appended as CSV.  Rule passes are row-local, so no streaming state is kept;
+written as CSV, a folder per batch.  Rule passes are row-local, so no streaming state is kept;
 passes that need the whole ledger (dedupe, offset pairing, reconciliation)
 belong in a batch job over the accumulated output.
 """
@@ -27,12 +27,8 @@ def read_ledger_stream(spark: SparkSession, folder: str, max_files_per_trigger:
            .option("quote", '"').option("escape", '"').option("multiLine", True)
            .option("maxFilesPerTrigger", max_files_per_trigger).csv(folder))
     raw = raw.withColumn("_file", F.col("_metadata.file_path")).withColumn("_pos", F.lit(0).cast("long"))
-    mapping = {"transaction_date": "TransactionDate", "posting_date": "PostingDate", "amount": "Amount",
-               "currency": "Currency", "category": "Category", "tags": "Tags",
-               "description": "Description", "source_id": "StatementId",
-               "system_id": "StatementSystemId", "id": "Id"}
     staged = raw.withColumn("_seq", F.lit(None).cast("long"))
-    return C.typed_ledger(staged, mapping, C.LEDGER_DATE_FORMAT, policy="skip_rows").ledger
+    return C.typed_ledger(staged, C.LEDGER_MAPPING, C.LEDGER_DATE_FORMAT, policy="skip_rows").ledger
 
 
 def run_rules_stream(stream: DataFrame, pipeline: Pipeline, kept_path: str, discarded_path: str,
@@ -45,8 +41,9 @@ def run_rules_stream(stream: DataFrame, pipeline: Pipeline, kept_path: str, disc
     def batch(df: DataFrame, batch_id: int) -> None:
         res = pipeline.run(df.drop("_file"))
         res.annotated.persist()
-        sinks.write_ledger_csv(res.kept, kept_path, mode="append")
-        sinks.write_ledger_csv(res.discarded, discarded_path, mode="append")
+        # A folder per batch, overwritten if the batch is tried again.
+        sinks.write_ledger_csv(res.kept, f"{kept_path}/batch-{batch_id}")
+        sinks.write_ledger_csv(res.discarded, f"{discarded_path}/batch-{batch_id}")
         res.annotated.unpersist()
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
