@@ -142,10 +142,10 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wallet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wallet export rows: purchases over 2 as payments, plus a redemption
+    """Wallet export rows: purchases as payments, plus a redemption
     row for every seventh event (amount 1, balance = payment amount + 1)."""
     ev = table(spark, sf_dir, "events").filter(
-        (F.col("event_type") == "purchase") & (F.col("value") > 2))
+        F.col("event_type") == "purchase")
     pay_amount = (-F.col("value")).cast("decimal(18,2)")
     base = [F.to_date("ts").alias("date"),
             F.lit("USD").alias("currency"),
@@ -168,7 +168,7 @@ def wallet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bank_wallet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bank-side ledger lines of the wallet purchases (money out, positive)."""
     ev = table(spark, sf_dir, "events").filter(
-        (F.col("event_type") == "purchase") & (F.col("value") > 2))
+        F.col("event_type") == "purchase")
     k = (F.col("event_id") % 3).cast("int")
     td = F.date_add(F.to_date("ts"), (F.col("user_id") % 4).cast("int"))
     return ev.select(
@@ -279,7 +279,7 @@ SQL = {
          'user ' || CAST(user_id AS VARCHAR) AS name, '{PAYMENT_TYPE}' AS type,
          CAST(-value AS DECIMAL(18,2)) AS amount, CAST(0 AS DECIMAL(18,2)) AS balance,
          event_id * 2 AS _seq
-  FROM events WHERE event_type = 'purchase' AND value > 2),
+  FROM events WHERE event_type = 'purchase'),
 wallet0 AS (
   SELECT * FROM wallet_pay
   UNION ALL
