@@ -77,8 +77,14 @@ def _share(children: DataFrame, above: Sequence[str], name: str) -> DataFrame:
 
 def leaf_budgets(leaves: DataFrame, budget: Column, weights: Mapping[tuple[str, ...], int], max_epochs: int,
                  levels: Sequence[str] = LEVELS) -> DataFrame:
-    """``leaves`` (levels and ``tokens``) with their ``budget``; leaves of weight 0 are left out."""
-    capacities = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
+    """``leaves`` (levels and ``tokens``) with their ``budget``; leaves in a subtree of weight 0 are left out.
+
+    These have no capacity at any level, so nothing is shared out for them.
+    """
+    live = F.lit(True)
+    for level in range(len(levels)):
+        live = live & (node_weight(level, levels, weights) > 0)
+    capacities = leaves.withColumn("capacity", F.when(live, F.col("tokens") * max_epochs).otherwise(0).cast("long"))
     total = capacities.agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
     parents = total.select(F.least(budget, F.col("capacity")).cast("long").alias("budget"), F.lit(0).alias("__root"))
     above: list[str] = ["__root"]
@@ -139,13 +145,14 @@ def apply_plan(docs: DataFrame, plan: DataFrame, seed: int, key: str = "doc_id",
     ``docs`` has the columns ``levels``; documents of leaves that are not in the
     plan are left out.  Documents are taken whole, so a leaf exceeds its budget
     by less than its last document (all documents with the same key are one).
+    A column ``copies`` of ``docs`` gives way; all others stay as they are.
     """
-    leaf = plan.select(*[F.col(x).alias(f"__{x}") for x in levels], "epochs", "last")
+    leaf = plan.select(*[F.col(x).alias(f"__{x}") for x in (*levels, "epochs", "last")])
     same = [F.col(x) == F.col(f"__{x}") for x in levels]
-    within = order_key(seed, F.col("epochs"), F.col(key)) <= F.col("last")
-    copies = F.col("epochs") + F.when(F.coalesce(within, F.lit(False)), 1).otherwise(0)
+    within = order_key(seed, F.col("__epochs"), F.col(key)) <= F.col("__last")
+    copies = F.col("__epochs") + F.when(F.coalesce(within, F.lit(False)), 1).otherwise(0)
     joined = docs.join(_small(leaf), same).withColumn("copies", copies.cast("long"))
-    return joined.where("copies > 0").drop(*[f"__{x}" for x in levels], "epochs", "last")
+    return joined.where("copies > 0").drop(*[f"__{x}" for x in (*levels, "epochs", "last")])
 
 
 #: Parameters of the registered query and of the pipeline's stage.

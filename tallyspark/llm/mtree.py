@@ -31,11 +31,19 @@ PAGE_SCHEMA = ("tree int, page int, leaf boolean, pivot array<long>, radius doub
                "radii array<double>, children array<int>, vectors array<array<long>>, ids array<array<long>>")
 
 
+#: Squared lengths (of components rounded away from zero) stay below this, so that every inner product fits a long.
+LONGEST = 2.0 ** 62
+
+
 def whole_components(embedding: Column) -> Column:
-    """floor(256 * x) of each component; null for vectors that are null or hold null or non-finite components."""
+    """floor(256 * x) of each component; null for vectors that are null, hold null or non-finite components, or are too long.
+
+    Too long: the squared length reaches ``LONGEST``, so that a score need not fit a long.
+    """
     doubles = F.transform(embedding, lambda x: x.cast("double"))
     sound = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(sound, F.transform(doubles, lambda x: F.floor(x * 256).cast("long")))
+    length = F.aggregate(doubles, F.lit(0.0), lambda a, x: a + (F.abs(x) * 256 + 1) * (F.abs(x) * 256 + 1))
+    return F.when(sound & (length < LONGEST), F.transform(doubles, lambda x: F.floor(x * 256).cast("long")))
 
 
 def _matrix(lists: pa.Array, width: int) -> np.ndarray:
@@ -121,8 +129,11 @@ class Tree:
                 self.pivot = _matrix(pa.array([row["pivot"].as_py()], pa.list_(pa.int64())), space.width)[0].astype(space.kind)
                 self.radius = row["radius"].as_py()
 
-    def search(self, query: np.ndarray, k: int, least: float) -> list[tuple[int, int]]:
-        """The best ``k`` (score, id), larger scores and then smaller ids first, of those that score ``least``."""
+    def search(self, query: np.ndarray, k: int, least: float, own: int | None = None) -> list[tuple[int, int]]:
+        """The best ``k`` (score, id), larger scores and then smaller ids first, of those that score ``least``.
+
+        The id ``own`` is left out.
+        """
         space = self.space
         query = query.astype(space.kind)
         square = float((query.astype(float) ** 2).sum())
@@ -151,6 +162,8 @@ class Tree:
                     if score < least:
                         break
                     for id_ in extra[i]:
+                        if id_ == own:
+                            continue
                         entry = (int(score), -id_)
                         if len(found) < k:
                             heapq.heappush(found, entry)
@@ -185,11 +198,12 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
     """``query_id, rank, vec_id, score`` of the ``k`` best of all other rows for each row where ``queries`` holds.
 
     Score: inner product of ``whole_components``; of equal scores the smaller id
-    is better; fewer rows than ``k``: all.  Vectors that are null or hold null or
-    non-finite components take no part; shorter vectors are filled up with
-    zeros; rows with a null id take no part.  Rows that share an id count as
-    one row each, but none is a result of a query with its id.  An empty table
-    gives an empty result.
+    is better; fewer rows than ``k``: all.  Vectors that are null, hold null or
+    non-finite components or are too long for a long score (``LONGEST``) take no
+    part; shorter vectors are filled up with zeros; rows with a null id take no
+    part.  Rows equal in id and vector are one row; rows that share an id with
+    other vectors count as one row each, but none is a result of a query with
+    its id.  An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = written(vectors.select(F.col(f"`{key}`").cast("long").alias("id"), whole_components(F.col(f"`{embedding}`")).alias("v"),
@@ -229,7 +243,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
     root_trees, root_radii = roots.column("tree").to_numpy(), roots.column("radius").to_numpy()
     root_pivots = _matrix(roots.column("pivot"), space.width).astype(space.kind)
 
-    asked = rows.where("q").select("v").distinct()
+    # A query leaves out its own id, which is among k + 1 results once; an id with several vectors is left out in the search.
+    several = rows.select("id", "v").distinct().groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.col("id").alias("own"))
+    queries_ = written(rows.where("q").select("id", "v").distinct().join(several, "id", "left"), "mtree")
+    asked = queries_.select("v", "own").distinct()
     asked = asked.withColumn("block", F.pmod(F.xxhash64("v", F.lit(8)), F.lit(max(1, -(-asked.count() // QUERY_BLOCK)))).cast("int"))
     asked = written(asked, "mtree")
     n_blocks = asked.agg(F.max("block").alias("m")).first()["m"]
@@ -251,33 +268,36 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
             first[np.arange(len(q)), home] = True
             at, to = np.nonzero(np.where(np.isnan(least)[:, None], first, others))
             yield pa.RecordBatch.from_arrays([*b.take(pa.array(at)).columns, pa.array(root_trees[to].astype(np.int32))],
-                                             ["v", "block", "least", "tree"])
+                                             ["v", "block", "least", "own", "tree"])
 
     def search(asked_: pa.Table, pages_: pa.Table) -> pa.Table:
         searched = Tree(pages_, space)
         q = _matrix(asked_.column("v"), space.width)
         least = np.nan_to_num(asked_.column("least").to_numpy(), nan=-np.inf)
-        hits = [searched.search(x, k + 1, y) for x, y in zip(q, least)]
+        own = asked_.column("own").to_pylist()
+        hits = [searched.search(x, k + 1, y, o) for x, y, o in zip(q, least, own)]
         kind = pa.list_(pa.struct([("score", pa.int64()), ("id", pa.int64())]))
         return pa.Table.from_arrays([
             asked_.column("v").combine_chunks(), asked_.column("block").combine_chunks(),
-            pa.array([float(h[k][0]) if len(h) > k else -np.inf for h in hits]),
-            pa.array([[{"score": s, "id": i} for s, i in h] for h in hits], kind)], ["v", "block", "least", "hits"])
-
-    copies = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks))))
+            pa.array([float(h[k][0]) if len(h) > k else -np.inf for h in hits]), pa.array(own, pa.int64()),
+            pa.array([[{"score": s, "id": i} for s, i in h] for h in hits], kind)], ["v", "block", "least", "own", "hits"])
 
     def visit(frame: DataFrame) -> DataFrame:
-        routed = frame.mapInArrow(route, "v array<long>, block int, least double, tree int")
+        routed = written(frame.mapInArrow(route, "v array<long>, block int, least double, own long, tree int"), "mtree")
+        # Pages go to the blocks that have queries for their tree, and to no others.
+        asked_for = routed.groupBy(F.col("tree").alias("of"), F.col("block").alias("to")).agg(F.count("*"))
+        copies = pages.join(asked_for, F.col("tree") == F.col("of")).select(*pages.columns, F.col("to").alias("block"))
         return (routed.groupBy("tree", "block").cogroup(copies.groupBy("tree", "block"))
-                .applyInArrow(_if_asked(search), "v array<long>, block int, least double, "
-                                                 "hits array<struct<score: long, id: long>>"))
-
-    home = written(visit(asked.select("v", "block", F.lit(float("nan")).alias("least"))), "mtree")
-    both = home.select("v", "hits").unionByName(visit(home.select("v", "block", "least")).select("v", "hits"))
-    best = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("score"), "id"))
-    hits = (both.select("v", F.inline("hits")).withColumn("n", best).where(F.col("n") <= k + 1)
-            .groupBy("v").agg(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id")).alias("hits")))
-    answers = rows.where("q").select("id", "v").join(hits, "v").select(
+                .applyInArrow(search, "v array<long>, block int, least double, own long, "
+                                      "hits array<struct<score: long, id: long>>"))
+
+    home = written(visit(asked.select("v", "block", F.lit(float("nan")).alias("least"), "own")), "mtree")
+    both = home.select("v", "own", "hits").unionByName(visit(home.select("v", "block", "least", "own")).select("v", "own", "hits"))
+    best = F.row_number().over(Window.partitionBy("v", "own").orderBy(F.desc("score"), "id"))
+    hits = (both.select("v", "own", F.inline("hits")).withColumn("n", best).where(F.col("n") <= k + 1)
+            .groupBy("v", "own").agg(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id")).alias("hits")))
+    hits = hits.withColumnsRenamed({"v": "__v", "own": "__own"})
+    answers = queries_.join(hits, (F.col("v") == F.col("__v")) & F.col("own").eqNullSafe(F.col("__own"))).select(
         F.col("id").alias("query_id"),
         F.slice(F.filter(F.sort_array("hits"), lambda h: h["id"] != F.col("id")), 1, k).alias("hits"))
     return (answers.select("query_id", F.posexplode("hits").alias("at", "hit"))
@@ -285,17 +305,6 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
                     (-F.col("hit")["minus"]).alias("score")))
 
 
-def _if_asked(search):
-    """``search`` for groups that have queries (pages without any give no rows)."""
-    def run(asked: pa.Table, pages: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            kind = pa.list_(pa.struct([("score", pa.int64()), ("id", pa.int64())]))
-            return pa.table({"v": pa.array([], pa.list_(pa.int64())), "block": pa.array([], pa.int32()),
-                             "least": pa.array([], pa.float64()), "hits": pa.array([], kind)})
-        return search(asked, pages)
-    return run
-
-
 def _page_names() -> list[str]:
     return [c.split()[0] for c in PAGE_SCHEMA.split(", ")]
 

@@ -399,3 +399,40 @@ def test_mixing_takes_the_shortest_prefix(spark, hard):
     assert mixing.apply_plan(odd, plan, 1).count() > 0
     none = odd.limit(0)
     assert mixing.apply_plan(none, mixing.make_plan(none, F.lit(5), {}, 2, 1), 1).count() == 0
+
+
+def test_mixing_weight_zero_below_the_top(spark):
+    """What a child of weight 0 can't take goes to its siblings and then to other branches."""
+    leaves = [("a", "x", "1", 100), ("a", "y", "1", 10_000), ("b", "x", "1", 9000), ("b", "x", "off", 700)]
+    df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
+    weights = {("a", "y"): 0, ("*", "*", "off"): 0}
+    for total, want in ((8000, (100, 7900)), (100, (50, 50)), (10**6, (100, 9000))):
+        got = {(r.domain, r.lang, r.source): r.budget for r in mixing.leaf_budgets(df, F.lit(total), weights, 1).collect()}
+        assert got == {("a", "x", "1"): want[0], ("b", "x", "1"): want[1]}
+
+
+def test_mixing_keeps_columns_named_like_the_plans(spark):
+    rows = [(i, "d", "l", "s", 10, "e", "f", 5) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, domain string, lang string, source string, n_tokens long, epochs string, last string, budget long")
+    plan = mixing.make_plan(docs, F.lit(300), {}, 2, 1)
+    taken = mixing.apply_plan(docs, plan, 1)
+    assert taken.columns == [*docs.columns, "copies"] and taken.agg(F.sum("copies")).first()[0] == 30
+    assert {(r.epochs, r.last, r.budget) for r in taken.collect()} == {("e", "f", 5)}
+
+
+def test_top_k_with_shared_ids_and_huge_components(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "TREE_ROWS", 8)
+    monkeypatch.setattr(mtree, "QUERY_BLOCK", 2)
+    draw = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in draw.integers(-9, 9, 3)]) for i in range(40)]
+    rows += [(0, [9.0, 9.0, float(9 + j)]) for j in range(4)] + [(25, rows[25][1])] * 3  # an id with several vectors, equal rows
+    huge = [(50, [1e18, 0.0, 0.0]), (51, [1e300, 1.0, 1.0]), (75, [-1e18, 0.0, 0.0])]
+    df = spark.createDataFrame(rows + huge, "vec_id long, embedding array<double>")
+    distinct = sorted({(i, tuple(int(256 * x) for x in v)) for i, v in rows})
+    want = []
+    for q, v in distinct:
+        if q % 25 == 0:
+            best = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in distinct if i != q))[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    got = sorted(map(tuple, mtree.top_k(df, F.col("vec_id") % 25 == 0).collect()))
+    assert got == sorted(want) and len(got) == 6 * 5

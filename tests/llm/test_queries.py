@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from itertools import combinations
 
@@ -70,3 +71,22 @@ def test_pipeline_stages(spark):
     empty = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).count() == 0
+
+
+def test_near_duplicates_keep_different_texts_of_one_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, text, "en", "b", 9), (1, text, "en", "a", 9), (1, other, "en", "c", 9), (2, text + " x", "en", "a", 9),
+            (3, None, None, None, None), (3, None, None, None, None), (None, text, "en", "a", 9), (None, text, "en", "a", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, [rows[1], rows[2], rows[4], rows[6], rows[7]]))
+
+
+def test_written_tables_are_released(spark):
+    from tallyspark import session
+    entry.queries()["op12_prefix_trie"](spark, DATA).collect()
+    entry.queries()["op11_substring_dedup"](spark, DATA).collect()
+    session.release_all(spark)
+    folder = session.ensure_checkpoint_dir(spark).removeprefix("file:") + "/tables"
+    assert not os.path.exists(folder) or not os.listdir(folder)
