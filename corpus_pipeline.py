@@ -37,7 +37,11 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: one row with its smallest id (null ids all stay)."""
+    """One document of each component of near duplicates: that with its smallest id (null ids all stay).
+
+    Rows with one id stay if their texts differ; of rows equal in id and text
+    one stays, the smallest by its other columns.
+    """
     linked = written(minhash.with_kept(minhash.link(docs.select("doc_id", "text"))), "linked")
     dropped = linked.where("not kept").select("doc_id").distinct()
     kept = docs.join(minhash.small_ids(dropped), "doc_id", "left_anti").select(*docs.columns)
@@ -45,8 +49,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if repeated.isEmpty():
         return kept
     repeated = minhash.small_ids(repeated)
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(
-        kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = (kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("__row"))
+            .select("doc_id", "text", *[F.col("__row")[c].alias(c) for c in others]))
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
