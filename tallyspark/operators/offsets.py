@@ -12,21 +12,24 @@ the first later unpaired record of the opposite sign.
 * Refund mode (only a non-negative row may open a pair) first drops the
   negative rows that find no opener: those where the running balance
   (+1 / -1) reaches a new minimum below zero.
-* With a period limit ``max_days`` a cluster splits into segments wherever
-  consecutive dates are ``max_days`` or more apart (no pair can cross such a
-  gap; segments are computed on the per-day table).  Each segment is paired
-  by a FIFO scan in ``mapInPandas`` that only ships (seq, day, sign).
+* With a period limit ``max_days`` equal days of a cluster act alike, so rows are
+  first counted per (cluster, day, sign).  A queue over these counts, at most one
+  row a day, emits pairs of rank intervals: so many rows of one day with so many
+  of another.  Intervals become single ranks, and ranks meet rows by an equi-join
+  on (cluster, sign, rank): no scan over rows, however large a cluster is.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.operators.sequence import prefix_sum_min, rank_in_group
+from tallyspark.session import cut_lineage
 
 OUTPUTS = ("pairs", "unpaired", "all")
 
@@ -79,60 +82,72 @@ def _pair_ids_unlimited(x: DataFrame, cl: list[str], refund: bool, date: str, se
             .unionByName(pairs.select(F.col("_sn").alias(seq), "pair_id")))
 
 
-def _fifo_stream(max_days: int, refund: bool, seq: str, nkeys: int):
-    """FIFO pairing over a partition sorted by (segment key, day, sign, seq).
+class _Queue:
+    """Open rows of one sign, as (day, first rank, how many), oldest day first."""
 
-    State (two queues of open rows) resets whenever the segment key changes,
-    so one pass over the partition's Arrow batches pairs every segment in it.
+    def __init__(self):
+        self.open: deque[list[int]] = deque()
+
+    def expire(self, day: int, max_days: int) -> None:
+        while self.open and day - self.open[0][0] >= max_days:
+            self.open.popleft()
+
+    def take(self, wanted: int) -> list[tuple[int, int]]:
+        """(first rank, how many) of up to ``wanted`` of the oldest rows, which leave the queue."""
+        out = []
+        while wanted and self.open:
+            head = self.open[0]
+            n = min(wanted, head[2])
+            out.append((head[1], n))
+            head[1], head[2], wanted = head[1] + n, head[2] - n, wanted - n
+            if not head[2]:
+                self.open.popleft()
+        return out
+
+
+def _pair_days(max_days: int, refund: bool):
+    """Pairs of rank intervals from day counts ordered by (cluster, day).
+
+    Ranks count a cluster's rows of a sign by day from 1; on a day non-negative
+    rows come first.
     """
     def run(batches):
-        current = None
-        opens = {False: [], True: []}
-        heads = {False: 0, True: 0}
+        current, queues, ranks = None, None, None
         for pdf in batches:
-            out_s, out_p = [], []
-            keys = list(zip(*[pdf[f"_k{i}"].tolist() for i in range(nkeys)]))
-            for key, day, neg, s in zip(keys, pdf["_day"].tolist(), pdf["_neg"].tolist(),
-                                        pdf[seq].tolist()):
-                if key != current:
-                    current = key
-                    opens = {False: [], True: []}
-                    heads = {False: 0, True: 0}
-                other = not neg
-                q, h = opens[other], heads[other]
-                while h < len(q) and day - q[h][0] >= max_days:
-                    h += 1
-                if h < len(q):
-                    partner = q[h][1]
-                    heads[other] = h + 1
-                    pid = min(partner, s)
-                    out_s += [partner, s]
-                    out_p += [pid, pid]
-                else:
-                    heads[other] = h
-                    if not (refund and neg):
-                        opens[neg].append((day, s))
-            yield pd.DataFrame({seq: pd.Series(out_s, dtype="int64"),
-                                "pair_id": pd.Series(out_p, dtype="int64")})
+            out = []
+            for cluster, day, *counts in zip(pdf["_cluster"], pdf["_day"], pdf["_pos"], pdf["_negs"]):
+                if cluster != current:
+                    current, queues, ranks = cluster, (_Queue(), _Queue()), [1, 1]
+                for sign in (0, 1):  # 0: non-negative
+                    n, other = counts[sign], queues[1 - sign]
+                    other.expire(day, max_days)
+                    found = other.take(n)
+                    for start, many in found:
+                        pair = (ranks[sign], start) if sign == 0 else (start, ranks[sign])
+                        out.append((cluster, *pair, many))
+                        ranks[sign] += many
+                        n -= many
+                    if n and not (refund and sign):
+                        queues[sign].open.append([day, ranks[sign], n])
+                    ranks[sign] += n
+            yield pd.DataFrame(out, columns=["_cluster", "_p", "_n", "_many"])
     return run
 
 
 def _pair_ids_limited(x: DataFrame, cl: list[str], max_days: int, refund: bool,
                       date: str, seq: str) -> DataFrame:
-    live = x.select(*cl, "_neg", F.unix_date(F.col(date)).alias("_day"), seq)
+    live = x.select(F.to_json(F.struct(*cl)).alias("_cluster"), "_neg", F.unix_date(F.col(date)).alias("_day"), seq)
     if max_days <= 0:
         return live.limit(0).select(seq, F.col(seq).alias("pair_id"))
-    # Segments on the per-day table: a new one starts after a gap >= max_days.
-    days = live.select(*cl, "_day").distinct()
-    w = Window.partitionBy(*cl).orderBy("_day")
-    days = days.withColumn("_start", F.coalesce(
-        (F.col("_day") - F.lag("_day").over(w) >= max_days).cast("int"), F.lit(1)))
-    days = days.withColumn("_segment", F.sum("_start").over(
-        w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
-    seg = live.join(days, cl + ["_day"], "inner")
-    keys = cl + ["_segment"]
-    seg = seg.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_day", "_neg", seq)
-    knames = [f"_k{i}" for i in range(len(keys))]
-    ordered = seg.repartition(*knames).sortWithinPartitions(*knames, "_day", "_neg", seq)
-    return ordered.mapInPandas(_fifo_stream(max_days, refund, seq, len(keys)),
-                               f"{seq} long, pair_id long")
+    days = live.groupBy("_cluster", "_day").agg(F.count(F.when(~F.col("_neg"), 1)).alias("_pos"),
+                                                F.count(F.when(F.col("_neg"), 1)).alias("_negs"))
+    ordered = days.repartition("_cluster").sortWithinPartitions("_cluster", "_day")
+    intervals = ordered.mapInPandas(_pair_days(max_days, refund), "_cluster string, _p long, _n long, _many long")
+    pairs = cut_lineage(intervals.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_many") - 1)))
+                        .select("_cluster", (F.col("_p") + F.col("_i")).alias("_p"), (F.col("_n") + F.col("_i")).alias("_n")))
+    ranked = cut_lineage(rank_in_group(live, ["_cluster", "_neg"], ["_day", seq], name="_k"))
+    pos = ranked.filter(~F.col("_neg")).select("_cluster", F.col("_k").alias("_p"), F.col(seq).alias("_sp"))
+    neg = ranked.filter(F.col("_neg")).select("_cluster", F.col("_k").alias("_n"), F.col(seq).alias("_sn"))
+    found = pairs.join(pos, ["_cluster", "_p"]).join(neg, ["_cluster", "_n"])
+    both = found.select(F.least("_sp", "_sn").alias("pair_id"), F.explode(F.array("_sp", "_sn")).alias(seq))
+    return both.select(seq, "pair_id")

@@ -172,8 +172,31 @@ def pair_offsets_all(spark, sf_dir):
                     F.col("pair_id").isNotNull().alias("paired"))
 
 
-@query("pair_offsets_period")
+#: The scan itself: a step takes the next row of every cluster, with the open rows of both signs as lists.
+_PERIOD_SQL = fx.with_views("movements").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+live AS (
+  SELECT *, dense_rank() OVER (ORDER BY source_id, abs(amount)) AS c,
+         row_number() OVER (PARTITION BY source_id, abs(amount) ORDER BY transaction_date, amount < 0, _seq) AS n
+  FROM movements),
+steps AS (
+  SELECT DISTINCT c, CAST(0 AS BIGINT) AS n, []::STRUCT(d DATE, s BIGINT)[] AS pos, []::STRUCT(d DATE, s BIGINT)[] AS neg,
+         CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM live
+  UNION ALL
+  SELECT c, n, CASE WHEN is_neg THEN other[2:] WHEN len(other) = 0 THEN list_append(own, {'d': day, 's': s}) ELSE own END,
+         CASE WHEN NOT is_neg THEN other[2:] WHEN len(other) = 0 THEN list_append(own, {'d': day, 's': s}) ELSE own END,
+         CASE WHEN len(other) > 0 THEN other[1].s END, CASE WHEN len(other) > 0 THEN s END
+  FROM (SELECT l.c, l.n, l.amount < 0 AS is_neg, l.transaction_date AS day, l._seq AS s,
+               CASE WHEN l.amount < 0 THEN neg ELSE pos END AS own,
+               list_filter(CASE WHEN l.amount < 0 THEN pos ELSE neg END, lambda x: l.transaction_date - x.d < 30) AS other
+        FROM steps JOIN live l ON l.c = steps.c AND l.n = steps.n + 1)),
+pairs AS (SELECT a, b FROM steps WHERE a IS NOT NULL)"""
+
+
+@query("pair_offsets_period", _PERIOD_SQL + """
+SELECT x.source_id, CAST(abs(x.amount) AS DOUBLE) AS amount,
+       CASE WHEN x.amount >= 0 THEN x.transaction_date ELSE y.transaction_date END AS pos_date,
+       CASE WHEN x.amount < 0 THEN x.transaction_date ELSE y.transaction_date END AS neg_date
+FROM pairs JOIN live x ON x._seq = a JOIN live y ON y._seq = b""")
 def pair_offsets_period(spark, sf_dir):
-    """Period-limited pairing (FIFO per segment); checked against a Python
-    model of the row-by-row scan in the tests."""
+    """Pairs at most 29 days apart; the SQL walks every cluster row by row."""
     return _pairs_out(O.pair_offsets(fx.movements(spark, sf_dir), output="pairs", max_days=30))

@@ -72,3 +72,16 @@ def test_all_output_keeps_every_row(spark):                       # Q12
     out = pair_offsets(df, "all")
     assert out.count() == len(rows)
     assert out.filter("_seq = 1").first()["pair_id"] is None
+
+
+@pytest.mark.parametrize("refund,max_days", [(False, 4), (True, 4), (False, 1000)])
+def test_one_cluster_with_most_rows(spark, refund, max_days):     # W5
+    rnd = random.Random(12)
+    rows = random_rows(7, 60)
+    for i in range(1200):  # many rows a day, days without a gap
+        rows.append(dict(_seq=50_000 + i, source_id=None, amount=Decimal(rnd.choice([4, 4, -4])),
+                         transaction_date=dt.date(2021, 1, 1) + dt.timedelta(days=int(rnd.triangular(0, 40))), id=f"#h{i}"))
+    df = ledger_rows(spark, rows)
+    want_pairs, want_unpaired = model(rows, refund, max_days)
+    assert spark_pairs(pair_offsets(df, "pairs", refund=refund, max_days=max_days)) == want_pairs
+    assert {r["_seq"] for r in pair_offsets(df, "unpaired", refund=refund, max_days=max_days).collect()} == want_unpaired
