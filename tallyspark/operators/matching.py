@@ -5,8 +5,9 @@ Pipeline (all DataFrame code, no driver loops over data):
 1. ``candidate_pairs`` - band join: same currency (null equals null), amount
    within ``d`` of the record amount, dates within ``n`` days, all inclusive.
    Spark has no band join, so an equi key is added by hand: a date bucket of
-   width ``2n+1`` and, for ``0 < d < 1``, a log-scale amount bucket.  Only the
-   record side is exploded (to the 1-4 bucket pairs its ranges touch); the
+   width ``2n+1`` and an amount bucket, on a log scale or, for wide tolerances,
+   by quantiles of the transactions.  Only the record side is exploded (to the
+   buckets its ranges touch, 1-4 pairs of them but for wide tolerances); the
    transaction side keeps one bucket, so each pair meets exactly once.
 2. ``score_pairs`` - score 0..1000 mixing the amount and day gaps by ``balance``.
 3. One-to-one matching is greedy by a strict order: score desc, day gap, amount
@@ -27,7 +28,7 @@ import math
 from decimal import Decimal
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import plain_decimal
@@ -104,10 +105,30 @@ def make_grid(days: Sequence[int] = (0,), amounts: Sequence[int] = (0,),
 # Candidate pairs
 # ---------------------------------------------------------------------------
 
+#: Tolerances from which amounts are bucketed by quantiles (below: on a log scale), and the buckets.
+WIDE, QUANTILES = 0.5, 64
+
+
 def _amount_bucket_width(d: float) -> float:
     return math.log((1 + d) / (1 - d))
 
 
+def _amount_bounds(txns: DataFrame) -> list[float]:
+    """Ascending amounts that part the transactions into about equal buckets (at most ``QUANTILES``)."""
+    parts = [i / QUANTILES for i in range(1, QUANTILES)]
+    found = txns.select(F.percentile_approx(F.col("t_amount").cast("double"), parts)).first()[0]
+    return sorted(set(found or []))
+
+
+def _bucket_of(amount: Column, bounds: Sequence[float]) -> Column:
+    """How many bounds an amount reaches: it does not fall as the amount rises."""
+    out = F.lit(0)
+    x = amount.cast("double")
+    for b in bounds:
+        out = out + F.when(x >= b, 1).otherwise(0)
+    return out
+
+
 def candidate_pairs(records: DataFrame, txns: DataFrame, max_days: int, max_amount: int,
                     r: Side = LEDGER_SIDE, t: Side = LEDGER_SIDE,
                     amount_buckets: bool = True) -> DataFrame:
@@ -141,7 +162,14 @@ def candidate_pairs(records: DataFrame, txns: DataFrame, max_days: int, max_amou
         rr = rr.withColumn("_ab", F.col("r_amount").cast("decimal(38,18)"))
         tt = tt.withColumn("_ab", F.col("t_amount").cast("decimal(38,18)"))
         keys.append("_ab")
-    elif amount_buckets and dd < 1:
+    elif amount_buckets and dd >= WIDE:
+        # Wide ranges: buckets that hold as many transactions each; a record meets all that its range touches.
+        bounds = _amount_bounds(tt)
+        top, bottom = F.col("r_amount") + F.lit(d) * F.abs("r_amount"), F.col("r_amount") - F.lit(d) * F.abs("r_amount")
+        rr = rr.withColumn("_ab", F.explode(F.sequence(_bucket_of(bottom, bounds), _bucket_of(top, bounds))))
+        tt = tt.withColumn("_ab", _bucket_of(F.col("t_amount"), bounds))
+        keys.append("_ab")
+    elif amount_buckets and dd > 0:
         w = _amount_bucket_width(dd)
         ra = F.abs(F.col("r_amount")).cast("double")
         rsign = F.signum(F.col("r_amount")).cast("int")
@@ -318,6 +346,54 @@ def _expand(state: DataFrame, points: Sequence[GridPoint], prio: Column) -> Data
     return x.filter(F.col("score") > 0).withColumn("prio", prio)
 
 
+#: Rounds that only take mutually best pairs; later ones, over fewer pairs, also resolve chains.
+PLAIN_ROUNDS = 2
+
+
+def _mutual_best_rows(state: DataFrame, points: Sequence[GridPoint], prio: Column) -> DataFrame:
+    """(rid, tid, pos) that are the best of both, with ``score, r_n, t_n``."""
+    by_r = (_expand(state.repartition("rid"), points, prio).groupBy("rid", "pos")
+            .agg(F.min_by("tid", "prio").alias("tid"), F.max("score").alias("score"), F.first("r_n").alias("r_n")))
+    by_t = (_expand(state.repartition("tid"), points, prio).groupBy("tid", "pos")
+            .agg(F.min_by("rid", "prio").alias("rid"), F.first("t_n").alias("t_n")))
+    return by_r.join(by_t, ["rid", "tid", "pos"])
+
+
+def _resolve_chains(open_pairs: DataFrame) -> DataFrame:
+    """Like ``_mutual_best_rows``, with the pairs of chains that hang on these.
+
+    A pair is taken if no better pair of its two classes is.  One with a single
+    better pair waits for that one alone, and is taken just if that is not (all
+    classes of one row): along a chain of such pairs every second one is taken,
+    down from a mutually best pair.  Pointers along the chains are doubled, so a
+    chain takes as many steps as its length has binary digits, not as many
+    rounds as it has pairs.  Pairs that wait for several are left for later.
+    """
+    of_r, of_t = (Window.partitionBy(side, "pos").orderBy("prio") for side in ("rid", "tid"))
+    ranked = (open_pairs.withColumns({"_rr": F.row_number().over(of_r), "_up_t": F.first("tid").over(of_r)})
+              .withColumns({"_tt": F.row_number().over(of_t), "_up_r": F.first("rid").over(of_t)})
+              .where("_rr + _tt <= 3 and (_rr + _tt = 2 or (r_n = 1 and t_n = 1))"))
+    waits_r = F.col("_rr") == 2  # for its record's best pair; else for its transaction's
+    links = cut_lineage(ranked.select(
+        "rid", "tid", "pos", "score", "r_n", "t_n",
+        F.when(F.col("_rr") + F.col("_tt") > 2, F.when(waits_r, F.col("rid")).otherwise(F.col("_up_r"))).alias("up_r"),
+        F.when(F.col("_rr") + F.col("_tt") > 2, F.when(waits_r, F.col("_up_t")).otherwise(F.col("tid"))).alias("up_t"),
+        F.lit(True).alias("taken")))
+    while True:
+        above = links.select(F.col("rid").alias("up_r"), F.col("tid").alias("up_t"), "pos", F.col("up_r").alias("next_r"),
+                             F.col("up_t").alias("next_t"), F.col("taken").alias("up_taken"))
+        waiting = links.where("up_r is not null")
+        if waiting.isEmpty():
+            return links.where("taken").select("rid", "tid", "pos", "score", "r_n", "t_n")
+        # ``taken`` of a pair that points to another: whether it is the opposite of that one (at an end: whether it is
+        # taken), so both combine alike.  Pairs whose chain ends in one that is not here drop out.
+        moved = waiting.join(above, ["up_r", "up_t", "pos"]).select(
+            "rid", "tid", "pos", "score", "r_n", "t_n", F.col("next_r").alias("up_r"), F.col("next_t").alias("up_t"),
+            (F.col("taken") != F.col("up_taken")).alias("taken"))
+        before, links = links, cut_lineage(links.where("up_r is null").unionByName(moved))
+        release(before)
+
+
 def _match_classes(base: DataFrame, points: Sequence[GridPoint], prio: Column, many: bool) -> tuple[DataFrame, int]:
     """Greedy matching of class pairs at every point: ``pos, rid, tid, score, take, r_from, t_from``.
 
@@ -331,11 +407,10 @@ def _match_classes(base: DataFrame, points: Sequence[GridPoint], prio: Column, m
     state = cut_lineage(_with_mask(base, points).select("rid", "tid", "r_n", "t_n", "_absd", "_rel", "rest", "mask"))
     taken: list[DataFrame] = []
     while True:
-        by_r = (_expand(state.repartition("rid"), points, prio).groupBy("rid", "pos")
-                .agg(F.min_by("tid", "prio").alias("tid"), F.max("score").alias("score"), F.first("r_n").alias("r_n")))
-        by_t = (_expand(state.repartition("tid"), points, prio).groupBy("tid", "pos")
-                .agg(F.min_by("rid", "prio").alias("rid"), F.first("t_n").alias("t_n")))
-        m = by_r.join(by_t, ["rid", "tid", "pos"])
+        if len(taken) >= PLAIN_ROUNDS:
+            m = _resolve_chains(_expand(state, points, prio))
+        else:
+            m = _mutual_best_rows(state, points, prio)
         if many:
             for side in ("r", "t"):
                 used = [x.filter(F.col(f"{side}_n") > 1).select(f"{side}id", "pos", "take") for x in taken]

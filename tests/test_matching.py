@@ -181,3 +181,45 @@ def test_side_tables_are_released(spark):
     M.reconcile(rdf, tdf, 1, 100, 500, R, T).matches.count()
     release_all(spark)
     assert glob.glob(urlparse(spark.sparkContext.getCheckpointDir()).path + "/tables/lineage-*") == []
+
+
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark):
+    """Dates at ever smaller gaps: each pair waits for the next one, down to the closest."""
+    rounds = {}
+    for n in (8, 40):
+        day, rows = 0, []
+        for i in range(2 * n):  # records and transactions in turn, gaps 2n, 2n - 1, ..., 1
+            rows.append((i, dt.date(2020, 1, 1) + dt.timedelta(days=day), Decimal(100), "USD", i))
+            day += 2 * n - i
+        recs, txns = rows[0::2], rows[1::2]
+        rdf = spark.createDataFrame(recs, "rid long, date date, amount decimal(18,2), currency string, _seq long")
+        tdf = spark.createDataFrame(txns, "tid long, date date, amount decimal(18,2), currency string, _seq long")
+        # Only neighbours are within reach.
+        res = M.reconcile(rdf, tdf, 2 * n, 0, 500, R, T)
+        got = {(r["rid"], r["tid"]) for r in res.matches.collect()}
+        pairs = M.score_pairs(M.candidate_pairs(rdf, tdf, 2 * n, 0, R, T), 500, 2 * n).collect()
+        assert got == greedy(pairs)
+        rounds[n] = res.rounds
+    assert rounds[40] <= rounds[8] + 2 and rounds[40] <= 8, rounds
+
+
+@pytest.mark.parametrize("plain", [0, 1, 50])
+def test_chains_and_plain_rounds_agree(spark, monkeypatch, plain):
+    monkeypatch.setattr(M, "PLAIN_ROUNDS", plain)
+    recs, txns, rdf, tdf = frames(spark, 21, 150)
+    grid = M.make_grid((3, 9), (100, 1000), (500,))
+    res = M.grid_reconcile(rdf, tdf, grid, R, T)
+    pairs = M.score_pairs(M.candidate_pairs(rdf, tdf, res.winner.max_days, res.winner.max_amount, R, T),
+                          res.winner.balance, res.winner.max_days).collect()
+    assert {(r["rid"], r["tid"]) for r in res.matches.collect()} == greedy(pairs)
+
+
+def test_wide_tolerance_on_one_day_has_an_amount_key(spark):
+    rows = [(i, dt.date(2020, 1, 1), Decimal(i), "USD", i) for i in range(-300, 700)]
+    rdf = spark.createDataFrame(rows, "rid long, date date, amount decimal(18,2), currency string, _seq long")
+    tdf = spark.createDataFrame(rows, "tid long, date date, amount decimal(18,2), currency string, _seq long")
+    pairs = M.candidate_pairs(rdf, tdf, 0, 1000, R, T)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "_ab" in plan.split("Join Inner")[1].splitlines()[0]
+    got = [(r["rid"], r["tid"]) for r in pairs.collect()]
+    assert sorted(got) == sorted((a[0], b[0]) for a in rows for b in rows if abs(a[0] - b[0]) <= abs(a[0]))
