@@ -33,10 +33,11 @@ def pairs_sql(days: int, amount: int, r_rel: str = "records", t_rel: str = "txns
     return f"""{name} AS (
   SELECT r.{r_key} AS rid, t.{t_key} AS tid, r.amount AS r_amount, t.amount AS t_amount,
          r._seq AS r_seq, t._seq AS t_seq, r.amount - t.amount AS amount_diff,
-         CAST(t.{t_date} - r.{r_date} AS BIGINT) AS day_diff
-  FROM {r_rel} r JOIN {t_rel} t ON r.currency IS NOT DISTINCT FROM t.currency
-   AND abs(r.amount - t.amount) <= {d} * abs(r.amount)
-   AND abs(t.{t_date} - r.{r_date}) <= {days})"""
+         CAST(r._off AS BIGINT) AS day_diff
+  FROM (SELECT *, unnest(range({-days}, {days + 1})) AS _off FROM {r_rel}) r
+  JOIN {t_rel} t ON r.currency IS NOT DISTINCT FROM t.currency
+   AND t.{t_date} = r.{r_date} + CAST(r._off AS INTEGER)
+   AND abs(r.amount - t.amount) <= {d} * abs(r.amount))"""
 
 
 def scored_sql(src: str = "pairs", balance: int = BALANCE, days: int = DAYS) -> str:
