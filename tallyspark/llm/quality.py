@@ -140,22 +140,34 @@ def choose_cutoffs(measured: DataFrame, stratum: str, good: Column, allowed: flo
     """Cutoffs by stratum and rule, from the labelled rows of ``measured``.
 
     ``good`` is true for rows that must not be rejected.  Only counts per
-    stratum, rule and cutoff reach the driver.  Strata with too few good
-    documents to prove anything get no cutoff, so that their documents are kept.
+    stratum, rule and cutoff reach the driver.  Strata that are too small to
+    prove any cutoff, even if it rejected none of their good documents, are
+    tested together as one pool and share its cutoffs: the bound then holds for
+    the pool's good documents, not for each of its strata.  Who is in the pool
+    depends on numbers of good documents only, so it costs no confidence beyond
+    one more stratum.  A pool that is still too small gets no cutoff.
     """
     counts = [F.count("*").alias("good")]
     for rule, (over, under, cutoffs) in rules.items():
         counts += [F.count(F.when(F.col(over) > c * F.col(under), 1)).alias(f"{rule}_{i}") for i, c in enumerate(cutoffs)]
-    rows = (measured.where(good).groupBy(F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("stratum"))
-            .agg(*counts).collect())
-    share, level = allowed / len(rules), delta / (len(rules) * max(1, len(rows)))
+    found = (measured.where(good).groupBy(F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("stratum"))
+             .agg(*counts).collect())
+    share, level = allowed / len(rules), delta / (len(rules) * (len(found) + 1))
+    tested: dict[tuple[str, ...], dict[str, int]] = {}
+    pool = [r for r in found if not passes(0, r["good"], share, level)]
+    for row in found:
+        if row not in pool:
+            tested[(row["stratum"],)] = row.asDict()
+    if pool:
+        tested[tuple(r["stratum"] for r in pool)] = {c: sum(r[c] for r in pool) for c in pool[0].asDict() if c != "stratum"}
     chosen: dict[str, dict[str, float]] = {}
-    for row in rows:
+    for members, row in tested.items():
         for rule, (_, _, cutoffs) in rules.items():
             for i, c in enumerate(cutoffs):
                 if not passes(row[f"{rule}_{i}"], row["good"], share, level):
                     break
-                chosen.setdefault(row["stratum"], {})[rule] = c
+                for member in members:
+                    chosen.setdefault(member, {})[rule] = c
     return chosen
 
 

@@ -111,15 +111,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on every page's url; seed words of hosts confirm bad pages, those of paths label them.
+    """Verdict on every page's url, from rules and templates that are learnt from what two thirds of the pages hold.
 
-    All other pages have no label; they count as not bad, so that purities are lower bounds.
+    A page is labelled bad if its html has a seed word; urls are no labels, and
+    pages whose crc32(page_id as text) modulo 3 is 1 are held out of learning.
     """
-    host = url_filters.seeded(F.col("host"))
-    bad = F.when(F.col("host") != "", host | url_filters.seeded(F.lower("path")))
-    judged = url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_filters.RULES, bad,
-                                    confirmed=host)
-    return judged.select("page_id", "host", "path", "rule", "verdict", "template")
+    bad = F.when(learnable(F.col("page_id")), F.coalesce(url_filters.seeded(F.col("html").cast("string")), F.lit(False)))
+    judged = url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), url_filters.RULES, bad)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "reason",
+                         held_out(F.col("page_id")).alias("held_out"))
 
 
 @query(repeats.ORACLE)

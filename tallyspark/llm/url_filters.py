@@ -4,7 +4,8 @@ The tree is learnt in a few aggregates.  Segments with digits are generalised,
 and so are the rare children of a node that has too many of them.  Branches of
 one node that lead to the same continuation merge where their labelled rates do
 not differ significantly.  A template is rejected by its smoothed purity: the
-part of its labelled pages that are bad, drawn towards the overall part.
+part of its labelled pages that are bad, drawn towards the overall part.  Labels
+come from what pages hold (``seeded``), never from their urls, and only teach.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ MANY_CHILDREN, FEW_URLS, RARE = 20, 5.0, 50
 #: Branches whose rates differ by less than so many standard errors merge.
 SIMILAR_SIGMAS = 2.5
 #: Weight of the overall part of bad pages, least labelled pages, and purity from which a template is rejected.
-SMOOTHING, LEAST_LABELLED, REJECT_AT = 10.0, 20, 0.5
+SMOOTHING, LEAST_LABELLED, REJECT_AT = 10.0, 10, 0.5
 
 #: Leading labels of a host that serve the same site; its pages are pooled.
 SERVICES = (r"www[0-9]*", "m", "mobile", "amp", "blog")
-#: Words of a host that confirm its pages as bad, and of a path that label its pages as bad.
-SEED_WORDS = ("casino", "poker", "bets", "betting", "spam", "pills", "viagra", "porn", "xxx", "adult-x", "ads-track")
+#: Words of a page (its texts and the targets of its links) that label it as bad: gambling, drugs, sex, advertising.
+SEED_WORDS = ("casino", "poker", "bet", "bets", "betting", "jackpot", "pills", "viagra", "porn", "xxx", "adult", "escort", "spam", "ads")
 
 DIGITS, ANY, MERGED = "{n}", "{*}", "{~}"
 
@@ -72,14 +73,14 @@ def site_of(host: Column) -> Column:
     return F.regexp_replace(host, r"^(?:(?:" + "|".join(SERVICES) + r")\.)+(?=[^.]+\.)", "")
 
 
-def seeded(host: Column, words: Sequence[str] = ()) -> Column:
-    """Whether one of ``words`` (SEED_WORDS by default) stands between dots, hyphens, slashes or the ends of ``host``."""
-    return host.rlike(r"(?:^|[./_-])(?:" + "|".join(words or SEED_WORDS) + r")(?:[./_-]|$)")
+def seeded(content: Column, words: Sequence[str] = SEED_WORDS) -> Column:
+    """Whether one of ``words`` stands in ``content`` as a whole word, in any case (null: null)."""
+    return content.rlike(r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(words) + r")(?![\p{L}\p{N}])")
 
 
 def _segments() -> Column:
-    """The segments of a path, digits generalised; what lies beyond the last level is joined to it."""
-    parts = F.split(F.regexp_replace("path", r"[0-9]+", DIGITS.replace("{", r"\{")), "/")
+    """The segments of a path, digits generalised, without slashes at its end; what lies beyond the last level is joined to it."""
+    parts = F.split(F.regexp_replace(F.regexp_replace("path", "/+$", ""), r"[0-9]+", DIGITS.replace("{", r"\{")), "/")
     inner = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     deep = F.concat(F.slice(inner, 1, DEPTH - 1),
                     F.array(F.array_join(F.slice(inner, DEPTH, F.greatest(F.size(inner), F.lit(1))), "/")))
@@ -93,7 +94,7 @@ def _with_segment(level: int, value: Column) -> Column:
 
 
 def learn_templates(pages: DataFrame) -> DataFrame:
-    """(host, segments, template, reject) for every host and generalised path of ``pages``.
+    """(host, segments, template, reject, reason) for every host and generalised path of ``pages``.
 
     ``pages`` has ``host, path`` and ``bad`` (true, false, or null without a
     label).  Null labels count for the shape of the tree only.  ``segments`` is
@@ -141,36 +142,36 @@ def learn_templates(pages: DataFrame) -> DataFrame:
     prior = overall["bad"] / overall["labelled"] if overall["labelled"] else 0.0
     purity = (F.col("bad") + SMOOTHING * prior) / (F.col("labelled") + SMOOTHING)
     verdicts = (tree.groupBy("host", "segments").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-                .select("host", "segments", ((F.col("labelled") >= LEAST_LABELLED) & (purity >= REJECT_AT)).alias("reject")))
+                .select("host", "segments", ((F.col("labelled") >= LEAST_LABELLED) & (purity >= REJECT_AT)).alias("reject"),
+                        F.format_string("%d of %d labelled pages are bad, smoothed purity %.3f", "bad", "labelled", purity).alias("reason")))
     return (tree.select("host", "original", "segments").join(verdicts, ["host", "segments"])
             .select("host", F.col("original").alias("segments"),
-                    F.concat(F.lit("/"), F.array_join("segments", "/")).alias("template"), "reject"))
+                    F.concat(F.lit("/"), F.array_join("segments", "/")).alias("template"), "reject", "reason"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], bad: Column, key: str = "page_id",
-               url: str = "url", confirmed: Column | None = None) -> DataFrame:
-    """``key, host, path, rule, template, verdict`` of every row of ``pages``.
-
-    ``bad`` labels rows of ``pages`` for learning (null: no label); ``confirmed``
-    tells rows that are bad without doubt.  Both may use ``host`` and ``path`` of
-    the url.  Templates are learnt per site (``site_of``).  The longest fitting
-    rule decides; else a rejected template or a confirmed row blocks, and
-    anything else is allowed.  A null url, or one without ``://``, has an empty host and path,
-    which no rule fits.  Repeated rows are judged each; an empty table stays empty.
+               url: str = "url") -> DataFrame:
+    """``key, host, path, rule, template, verdict, reason`` of every row of ``pages``.
+
+    ``bad`` labels rows of ``pages`` for learning (null: no label) and has no
+    other part in a verdict.  Templates are learnt per site (``site_of``).  The
+    longest fitting rule decides; else a rejected template blocks, and anything
+    else is allowed.  ``reason`` says what the template's verdict rests on.  A
+    null url, or one without ``://``, has an empty host and path, which no rule
+    fits.  Repeated rows are judged each; an empty table stays empty.
     """
-    host, path = split_url(F.col(f"`{url}`").cast("string"))
-    parsed = pages.withColumns({"host": host, "path": path}).select(
-        F.col(f"`{key}`"), "host", "path", site_of(F.col("host")).alias("site"), bad.alias("bad"),
-        F.coalesce(F.lit(False) if confirmed is None else confirmed, F.lit(False)).alias("confirmed"))
+    labelled = pages.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{url}`").alias("__url"), bad.alias("bad"))
+    parsed = labelled.withColumns({"host": split_url(F.col("__url").cast("string"))[0], "path": split_url(F.col("__url").cast("string"))[1]})
+    parsed = written(parsed.select(F.col("__key").alias(key), "host", "path", site_of(F.col("host")).alias("site"), "bad"), "urls")
     templates = (learn_templates(parsed.select(F.col("site").alias("host"), "path", "bad"))
                  .withColumnRenamed("host", "site"))
     rule = F.lit(None).cast("string")
-    verdict = F.when(F.col("reject") | F.col("confirmed"), "block").otherwise("allow")
+    verdict = F.when(F.col("reject"), "block").otherwise("allow")
     for r in sorted(rules, key=lambda r: (len(r.text), len(r.host))):
         rule = F.when(r.fits(), F.lit(r.text)).otherwise(rule)
         verdict = F.when(r.fits(), F.lit(r.verdict)).otherwise(verdict)
     return (parsed.withColumn("segments", _segments()).join(templates, ["site", "segments"], "left")
-            .select(F.col(f"`{key}`"), "host", "path", rule.alias("rule"), "template", verdict.alias("verdict")))
+            .select(F.col(f"`{key}`"), "host", "path", rule.alias("rule"), "template", verdict.alias("verdict"), "reason"))
 
 
 #: The rules of the registered query.
