@@ -32,15 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _items(spark, sf_dir) -> DataFrame:
+def _items(spark, sf_dir, ordered: bool = True) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     j = li.join(part, li.l_partkey == part.p_partkey, "left")
-    return with_sequence(j, LINEITEM_ORDER)
+    return with_sequence(j, LINEITEM_ORDER) if ordered else j.withColumn("_seq", F.monotonically_increasing_id())
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = _items(spark, sf_dir)
+def ledger(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    """The ledger view; ``ordered=False`` for row-local queries, which need ``_seq`` to be unique at most."""
+    j = _items(spark, sf_dir, ordered)
     td = F.to_date("l_shipdate")
     src = F.concat(F.lit("S"), (F.col("l_suppkey") % 10).cast("string"))
     price = F.col("l_extendedprice").cast(AMOUNT_TYPE)

@@ -88,4 +88,4 @@ SELECT strftime(transaction_date, '%d.%m.%Y') AS "TransactionDate",
        coalesce(description, '') AS "Description", coalesce(id, '') AS "Id" FROM ledger""")
 def sink_subset(spark, sf_dir):
     """Chosen sink columns, in the sink's order, with another date layout."""
-    return ledger_text(fx.ledger(spark, sf_dir), ["id", "description", "amount", "transaction_date"], "dd.MM.yyyy")
+    return ledger_text(fx.ledger(spark, sf_dir, ordered=False), ["id", "description", "amount", "transaction_date"], "dd.MM.yyyy")

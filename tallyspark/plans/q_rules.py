@@ -73,7 +73,7 @@ def main_cte(src: str = "ledger") -> str:
 
 def _main(spark, sf_dir):
     rules, named = main_rules()
-    return apply_pass(fx.ledger(spark, sf_dir), rules, "main", named)
+    return apply_pass(fx.ledger(spark, sf_dir, ordered=False), rules, "main", named)
 
 
 @query("rules_category_spend", fx.with_views("ledger") + "," + main_cte() + """
@@ -112,7 +112,7 @@ SELECT category, description, {tags_text_sql('tags')} AS tags, count(*) AS n,
        CAST(sum(amount) AS DOUBLE) AS total
 FROM p3 WHERE NOT _discarded GROUP BY ALL""")
 def rules_pipeline_ids(spark, sf_dir):
-    res = sample_pipeline().run(fx.ledger(spark, sf_dir), ids=["tidy", "main", "tidy"])
+    res = sample_pipeline().run(fx.ledger(spark, sf_dir, ordered=False), ids=["tidy", "main", "tidy"])
     return (res.kept.groupBy("category", "description", tags_to_text("tags").alias("tags"))
             .agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("total")))
 
@@ -121,7 +121,7 @@ def rules_pipeline_ids(spark, sf_dir):
 SELECT category, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total
 FROM p3 WHERE _discarded GROUP BY ALL""")
 def rules_pipeline_discarded(spark, sf_dir):
-    res = sample_pipeline().run(fx.ledger(spark, sf_dir), ids=["tidy", "main", "tidy"])
+    res = sample_pipeline().run(fx.ledger(spark, sf_dir, ordered=False), ids=["tidy", "main", "tidy"])
     return (res.discarded.groupBy("category")
             .agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("total")))
 
