@@ -347,7 +347,7 @@ def _expand(state: DataFrame, points: Sequence[GridPoint], prio: Column) -> Data
 
 
 #: Rounds that only take mutually best pairs; later ones, over fewer pairs, also resolve chains.
-PLAIN_ROUNDS = 2
+PLAIN_ROUNDS = 4
 
 
 def _mutual_best_rows(state: DataFrame, points: Sequence[GridPoint], prio: Column) -> DataFrame:
