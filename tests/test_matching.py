@@ -1,5 +1,6 @@
 """Matching against brute force and a global greedy model."""
 import datetime as dt
+import math
 import random
 from decimal import Decimal
 
@@ -223,3 +224,13 @@ def test_wide_tolerance_on_one_day_has_an_amount_key(spark):
     assert "_ab" in plan.split("Join Inner")[1].splitlines()[0]
     got = [(r["rid"], r["tid"]) for r in pairs.collect()]
     assert sorted(got) == sorted((a[0], b[0]) for a in rows for b in rows if abs(a[0] - b[0]) <= abs(a[0]))
+
+
+def test_floor_of_scores_is_that_of_the_rounded_value(spark):
+    near = [k + moved for k in (1, 2, 499, 750, 999, 1000) for gap in (0, 1e-13, 1e-11, 9e-10, 2e-9, 1e-8, 4e-7, 6e-7)
+            for half in (0, 5e-7) for moved in (-half - gap, -half + gap)]
+    near += [math.nextafter(k - 5e-7, side) for k in range(1, 1001) for side in (0, 2000)]
+    near += [k - 5e-7 for k in range(1, 1001)] + [k / 7 for k in range(7001)]
+    values = spark.createDataFrame([(float(x),) for x in near if 0 <= x <= 1000], "x double")
+    wrong = values.where(M._floored(F.col("x")) != F.floor(F.round("x", 6)))
+    assert wrong.isEmpty(), wrong.take(5)
