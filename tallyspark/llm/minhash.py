@@ -11,7 +11,9 @@
    sets of their members, lists of the rarest shingles (as many as a similar
    pair can't both lack, given both sizes) pair members of different components.
 5. Each pair is estimated on the sketch of its union, with slack, and what
-   remains is compared on whole sets.
+   remains is compared on whole sets.  The last pass over open lists does not
+   estimate: it leaves out only pairs whose sketches prove that too many values
+   are not shared.
 """
 
 from __future__ import annotations
@@ -89,6 +91,25 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return (pairs.join(a, "a").join(b, "b").where(_alike_sizes(F.col("nx"), F.col("ny")) & enough).select("a", "b").distinct())
 
 
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) but for those that surely miss the similarity.
+
+    Up to the smaller of the largest values of both sketches each holds all
+    of its set, so what only one of them has there is not in the intersection.
+    """
+    a = classes.select(F.col("id").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("nx"))
+    b = classes.select(F.col("id").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("ny"))
+    whole = F.lit((1 << 63) - 1).cast("long")  # a sketch that is its set holds all values
+    ends = [F.when(F.col(n) <= SKETCH, whole).otherwise(F.array_max(s)) for s, n in (("x", "nx"), ("y", "ny"))]
+    both = pairs.join(a, "a").join(b, "b").withColumn("end", F.least(*ends))
+
+    def most(mine, other, n):
+        return F.col(n) - F.size(F.filter(F.array_except(mine, other), lambda v: v <= F.col("end")))
+
+    return (both.where(F.least(most("x", "y", "nx"), most("y", "x", "ny")) >= _needed(F.col("nx"), F.col("ny")))
+            .select("a", "b").distinct())
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that reach the similarity on their whole sets."""
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
@@ -185,7 +206,8 @@ def _settle(source: DataFrame, classes: DataFrame, open_ids: DataFrame, links: D
             (F.col("x_root") != F.col("y_root")) & _alike_sizes(F.col("x_n"), F.col("y_n"))
             & (F.col("x_place") <= F.col("x_n") - needed) & (F.col("y_place") <= F.col("y_n") - needed))
         pairs = pairs.select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
-        found = written(found.unionByName(_confirmed(written(_likely(pairs, classes), "pairs"), sets)), "links")
+        pairs = _possible(pairs, classes) if every else _likely(pairs, classes)
+        found = written(found.unionByName(_confirmed(written(pairs, "pairs"), sets)), "links")
     return found
 
 

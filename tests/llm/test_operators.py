@@ -271,6 +271,29 @@ def test_near_duplicates_odd_rows(spark, hard):
     assert minhash.link(empty(spark)).count() == 0
 
 
+def test_near_duplicates_last_pass_leaves_out_only_what_sketches_disprove(spark):
+    """Sets as plain numbers, so that what is not shared can come first in every sketch."""
+    rnd = np.random.default_rng(5)
+    sets = {}
+    for i, (common, only) in enumerate([(343, 57), (342, 57), (86, 14), (85, 15), (48, 16), (1000, 166), (20, 0)]):
+        for first in (True, False):  # the values of one side alone are the smallest, or anywhere
+            values = rnd.choice(1 << 60, common + 2 * only, replace=False)
+            if first:
+                values = np.sort(values)[::-1]
+            sets[4 * i + 2 * first] = set(values[:common + only].tolist())
+            sets[4 * i + 2 * first + 1] = set(values[:common].tolist()) | set(values[common + only:].tolist())
+    classes = spark.createDataFrame([(i, len(v), sorted(v)[:minhash.SKETCH]) for i, v in sets.items()],
+                                    "id long, n long, sketch array<long>")
+    pairs = [(a, b) for a in sets for b in sets if b < a]
+    kept = {tuple(r) for r in minhash._possible(spark.createDataFrame(pairs, "a long, b long"), classes).collect()}
+    alike = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert alike <= kept
+    estimated = {tuple(r) for r in minhash._likely(spark.createDataFrame(sorted(alike), "a long, b long"), classes).collect()}
+    assert (3, 2) in alike - estimated
+    # Short sets that share nothing are left out without a look at their whole sets.
+    assert not {(a, b) for a, b in kept if len(sets[a]) < 300 and a // 2 != b // 2}
+
+
 def test_components(spark):
     draw = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 150)] + [(500, 500 + draw.randrange(100)) for _ in range(80)]
