@@ -54,6 +54,25 @@ def test_candidate_pairs_equal_brute_force(spark, seed, days, amount):
     assert got == brute(recs, txns, days, amount)
 
 
+@pytest.mark.parametrize("seed,days,amount,balance", [(1, 3, 100, 500), (2, 0, 0, 500), (3, 5, 1000, 300), (5, 9, 600, 0), (6, 4, 100, 1000)])
+def test_nearest_pairs_hold_the_best_ones(spark, seed, days, amount, balance):
+    _, _, rdf, tdf = frames(spark, seed)
+    tdf = tdf.unionByName(tdf)
+    rdf = rdf.unionByName(rdf.withColumn("rid", F.col("rid") + 500).withColumn("_seq", F.col("_seq") + 1))
+    full, near = [M.score_pairs(M.candidate_pairs(rdf, tdf, days, amount, R, T, nearest=x), balance, days) for x in (False, True)]
+    for best in (M.best_candidate, M.mutual_best):
+        assert sorted(map(tuple, best(near).collect())) == sorted(map(tuple, best(full).collect()))
+
+
+def test_nearest_pairs_grow_with_the_rows(spark):
+    rows = spark.range(300).select(F.col("id").alias("rid"), F.lit(dt.date(2022, 1, 1)).alias("date"),
+                                   ((F.col("id") + 10000) / 100).cast("decimal(18,2)").alias("amount"),
+                                   F.lit(None).cast("string").alias("currency"), F.col("id").alias("_seq"))
+    txns = rows.withColumnRenamed("rid", "tid")
+    assert M.candidate_pairs(rows, txns, 2, 100, R, T).count() == 300 * 300
+    assert M.candidate_pairs(rows, txns, 2, 100, R, T, nearest=True).count() <= 4 * 300
+
+
 def greedy(pairs):
     order = sorted(pairs, key=lambda p: (-p["score"], abs(p["day_diff"]), abs(p["amount_diff"]),
                                          p["day_diff"] < 0, p["amount_diff"] < 0, p["r_seq"], p["t_seq"]))
