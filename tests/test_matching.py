@@ -73,6 +73,22 @@ def test_nearest_pairs_grow_with_the_rows(spark):
     assert M.candidate_pairs(rows, txns, 2, 100, R, T, nearest=True).count() <= 4 * 300
 
 
+@pytest.mark.parametrize("seed,grid", [(1, [(3, 100, 500)])])
+def test_rounds_over_nearest_pairs_match_alike(spark, seed, grid, monkeypatch):
+    _, _, rdf, tdf = frames(spark, seed)
+    rdf = rdf.unionByName(rdf.withColumn("rid", F.col("rid") + 500).withColumn("_seq", F.col("_seq") + 1))
+    points = [M.GridPoint(i, *p) for i, p in enumerate(grid)]
+    found, whole = [], M._class_pairs
+    for limit in (M.PAIRS_PER_CLASS, 0):
+        laid_out = []
+        monkeypatch.setattr(M, "PAIRS_PER_CLASS", limit)
+        monkeypatch.setattr(M, "_class_pairs", lambda *a: laid_out.append(whole(*a)) or laid_out[-1])
+        res = M.grid_reconcile(rdf, tdf, points, R, T)
+        found.append([sorted(map(tuple, x.collect())) for x in (res.matches, res.report)])
+    assert found[0] == found[1]
+    assert all(base.isEmpty() for base, _, _ in laid_out)
+
+
 def greedy(pairs):
     order = sorted(pairs, key=lambda p: (-p["score"], abs(p["day_diff"]), abs(p["amount_diff"]),
                                          p["day_diff"] < 0, p["amount_diff"] < 0, p["r_seq"], p["t_seq"]))
