@@ -8,7 +8,7 @@ the first later unpaired record of the opposite sign.
 
 * Without a period limit this is exactly "the k-th non-negative row pairs
   with the k-th negative row", so pairing is a rank per (cluster, sign) and
-  an equi-join on (cluster, k) - no sequential scan, no hot join key.
+  a window of two rows at most per (cluster, k) - no sequential scan, no hot key.
 * Refund mode (only a non-negative row may open a pair) first drops the
   negative rows that find no opener: those where the running balance
   (+1 / -1) reaches a new minimum below zero.
@@ -25,7 +25,7 @@ from collections import deque
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators.sequence import prefix_sum_min, rank_in_group
@@ -49,37 +49,30 @@ def pair_offsets(df: DataFrame, output: str = "pairs", refund: bool = False,
     cl = ["_keys", "_abs"]  # a struct of keys is never null, so that null keys are equal
     x = (df.withColumn("_keys", F.struct(*keys)).withColumn("_abs", F.abs(F.col(amount)))
            .withColumn("_neg", F.col(amount) < 0))
-    if max_days is not None:
+    if max_days is not None:  # an inner join for pairs: whatever has a partner is in a cluster of 2 or more
         ids = _pair_ids_limited(x, cl, int(max_days), refund, date, seq)
+        res = x.join(ids, seq, "inner" if output == "pairs" else "left")
     else:
-        ids = _pair_ids_unlimited(x, cl, refund, date, seq)
-    res = x.join(ids, seq, "left")
-    if output != "all":
+        res = _paired_unlimited(x, cl, refund, date, seq)
+    if output == "pairs":
+        res = res.filter(F.col("pair_id").isNotNull())
+    elif output == "unpaired":
         sizes = x.groupBy(*cl).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-        res = res.join(sizes.select(*cl), cl, "left_semi")
-        if output == "pairs":
-            res = res.filter(F.col("pair_id").isNotNull())
-        else:
-            res = res.filter(F.col("pair_id").isNull())
+        res = res.join(sizes.select(*cl), cl, "left_semi").filter(F.col("pair_id").isNull())
     cols = list(df.columns) + ([] if output == "unpaired" else ["pair_id"])
     return res.select(*cols)
 
 
-def _pair_ids_unlimited(x: DataFrame, cl: list[str], refund: bool, date: str, seq: str) -> DataFrame:
-    live = x.select(*cl, "_neg", date, seq)
+def _paired_unlimited(x: DataFrame, cl: list[str], refund: bool, date: str, seq: str) -> DataFrame:
+    """All rows with ``pair_id``: the k-th rows of both signs of a cluster meet in one window, rows stay whole."""
+    live = F.lit(True)
     if refund:
         step = F.when(F.col("_neg"), F.lit(-1)).otherwise(F.lit(1)).cast("long")
-        live = live.withColumn("_step", step)
-        scanned = prefix_sum_min(live, cl, [date, "_neg", seq], "_step")
-        live = scanned.filter(~(F.col("_neg") & (F.col("_psum") < F.col("_pmin")))).select(
-            *cl, "_neg", date, seq)
-    ranked = rank_in_group(live, cl + ["_neg"], [date, seq], name="_k")
-    pos = ranked.filter(~F.col("_neg")).select(*cl, "_k", F.col(seq).alias("_sp"))
-    neg = ranked.filter(F.col("_neg")).select(*cl, "_k", F.col(seq).alias("_sn"))
-    pairs = pos.join(neg, cl + ["_k"], "inner").select(
-        "_sp", "_sn", F.least("_sp", "_sn").alias("pair_id"))
-    return (pairs.select(F.col("_sp").alias(seq), "pair_id")
-            .unionByName(pairs.select(F.col("_sn").alias(seq), "pair_id")))
+        x = prefix_sum_min(x.withColumn("_step", step), cl, [date, "_neg", seq], "_step")
+        live = ~(F.col("_neg") & (F.col("_psum") < F.col("_pmin")))
+    ranked = rank_in_group(x.withColumn("_live", live), [*cl, "_neg", "_live"], [date, seq], name="_k")
+    both = Window.partitionBy(*cl, "_live", "_k")
+    return ranked.withColumn("pair_id", F.when(F.count("_neg").over(both) == 2, F.min(seq).over(both)))
 
 
 class _Queue:

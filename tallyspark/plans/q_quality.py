@@ -124,11 +124,11 @@ p AS (SELECT x.source_id, x.a, x.d AS pos_date, y.d AS neg_date, x._seq AS sp, y
 
 
 def _pairs_out(df):
-    pos = df.filter(F.col("amount") >= 0).select("pair_id", "source_id",
-                                                 F.abs("amount").cast("double").alias("amount"),
-                                                 F.col("transaction_date").alias("pos_date"))
-    neg = df.filter(F.col("amount") < 0).select("pair_id", F.col("transaction_date").alias("neg_date"))
-    return pos.join(neg, "pair_id").drop("pair_id")
+    """One row per pair from the two rows of each."""
+    own = F.struct("source_id", F.abs("amount").cast("double").alias("amount"), F.col("transaction_date").alias("pos_date"))
+    pairs = df.groupBy("pair_id").agg(F.max(F.when(F.col("amount") >= 0, own)).alias("_pos"),
+                                      F.max(F.when(F.col("amount") < 0, F.col("transaction_date"))).alias("neg_date"))
+    return pairs.select("_pos.*", "neg_date")
 
 
 @query("pair_offsets_pairs", fx.with_views("movements") + _MOV + _rank_pairs_sql("mc") + """
